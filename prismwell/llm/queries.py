@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_cache, warc
+from . import packing, quality, simhash, token_cache, warc
 from .common import scratch_path
 
 
@@ -28,6 +28,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicate_pages(_table(spark, sf_dir, "pages")).drop("archive")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that the figures are those of a first run."""
     return token_cache.count_tokens(_table(spark, sf_dir, "documents"), _word_bpe(), scratch_path(spark, "token-cache"))
@@ -40,6 +44,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_warc_revisits": op3_warc_revisits,
+    "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
 }
