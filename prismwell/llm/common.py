@@ -103,7 +103,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _forest(held)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 16) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", salts: int = 2) -> DataFrame:
     """(node, component): the least node reachable from each node that has an edge.
 
     Edges are longs in any order; loops and repeats do no harm. Each partition first replaces its
