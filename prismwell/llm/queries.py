@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, token_cache, warc
+from . import decontaminate, packing, quality, simhash, token_cache, warc
 from .common import scratch_path
 
 
@@ -24,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.deduplicate_pages(_table(spark, sf_dir, "pages")).drop("archive")
 
@@ -43,6 +47,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_decontamination": op2_decontamination,
     "op3_warc_revisits": op3_warc_revisits,
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
