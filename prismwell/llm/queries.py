@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, quality, simhash, token_cache, warc
+from . import decontaminate, embed_lsh, packing, quality, simhash, token_cache, warc
 from .common import scratch_path
 
 
@@ -45,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _word_bpe())
 
 
+def op7_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_lsh.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
+    "op7_embedding_lsh": op7_embedding_lsh,
 }
 
 ORACLE: dict[str, str] = {
