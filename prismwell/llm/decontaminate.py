@@ -25,14 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, cut, text_bytes
+from .filters import HashFilter
 from .spans import as_long, batches_of, mixed, word_hashes, words_of
 
 # fixed values: the seeds, each of weight 5
 MASKS = ("1101011", "11001101", "111001001", "1010011001", "1100010101")
 MIN_WORDS, GAP_COST, FULL_SCORE, SCORE_SHARE, LEAST_SCORE = 6, 0.5, 8.0, 0.45, 6.0
-#: Bits of the map: 16 for each seed hash, from 2**16 to 2**27 (16 MB).
-LEAST_BITS, MOST_BITS = 16, 27
-_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def seed_hashes(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -93,40 +91,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     ``matched`` counts the equal words of the best stretch, ``overlap`` is their share of the item,
     ``start`` the stretch's first word in the document.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), text_bytes(item_text).alias("_text")).distinct()
     seeds = cut(items.mapInPandas(_benchmark_seeds, "item string, ipos int, h long").distinct())
     count = seeds.select("h").distinct().count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(count, 1) - 1).bit_length()))
-    probe = lambda h: (h >> np.uint64(64 - bits), (h * _SECOND) >> np.uint64(64 - bits))
-
-    @F.pandas_udf("array<long>")
-    def places(h: pd.Series) -> pd.Series:
-        a, b = probe(h.to_numpy().astype(np.int64).view(np.uint64))
-        return pd.Series(list(np.stack([a, b], 1).astype(np.int64)))
-
-    spots = seeds.select("h").distinct().select(F.explode(places("h")).alias("p"))
-    filled = spots.groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("m")).toPandas()  # 2**(bits - 6) rows at most
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[filled["w"].to_numpy(dtype=np.int64)] = filled["m"].to_numpy(dtype=np.int64)
-    shared = spark.sparkContext.broadcast(table.view(np.uint8))
+    wanted = HashFilter.of(seeds.select("h").distinct(), count)
     longest = items.agg(F.max(F.size(F.split(F.col("_text").cast("string"), r"[\x20\x09-\x0D]+")))).first()[0] or 0
     margin = int(longest)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = shared.value
-
-        def maybe(h: np.ndarray) -> np.ndarray:
-            hit = np.ones(len(h), bool)
-            for p in probe(h):
-                hit &= (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            return np.flatnonzero(hit)
-
         for pdf in batches:
             ids, text_hash = pdf["_id"].to_numpy(), pdf["text_hash"].to_numpy()
             for first, group in batches_of(pdf["_text"].tolist()):
                 words, doc = _hashed(group)
-                found = [(at[i], h[i]) for at, h in seed_hashes(words, doc) if len(i := maybe(h))]
+                found = [(at[i], h[i]) for at, h in seed_hashes(words, doc) if len(i := np.flatnonzero(wanted.maybe(h)))]
                 if not found:
                     continue
                 at = np.concatenate([a for a, _ in found])

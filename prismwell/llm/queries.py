@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_lsh, packing, quality, simhash, token_cache, warc
+from . import decontaminate, embed_lsh, packing, quality, simhash, suffix_dedup, token_cache, warc
 from .common import scratch_path
 
 
@@ -49,6 +49,10 @@ def op7_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_lsh.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_bytes(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_embedding_lsh": op7_embedding_lsh,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
