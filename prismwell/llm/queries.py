@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_lsh, packing, phrase_dedup, quality, simhash, suffix_dedup, token_cache, warc
+from . import decontaminate, embed_lsh, lattice_lm, packing, phrase_dedup, quality, simhash, suffix_dedup, token_cache, warc
 from .common import scratch_path
 
 
@@ -53,6 +53,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_bytes(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_texts(_table(spark, sf_dir, "documents"), _word_bpe())
+
+
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_dedup.removed_passages(_table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_embedding_lsh": op7_embedding_lsh,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_lattice_lm": op9_lattice_lm,
     "op10_phrase_dedup": op10_phrase_dedup,
 }
 
