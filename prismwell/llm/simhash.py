@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, connected_components, cut, salted_join, text_bytes
+from .spans import mixed
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
@@ -27,12 +28,15 @@ BLOCK = 1 << 16
 HEAVY_BUCKET = 256
 
 
-def fingerprint(data: bytes, words: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, as a signed integer."""
+def fingerprints(data: bytes, words: int = 3, functions: int = 1) -> list[int]:
+    """64-bit SimHashes of a text's word shingles, as signed integers.
+
+    The first is of the shingles' XXH64; each further one is of those hashes mixed anew.
+    """
     tokens = data.translate(LOWER_AZ).split()
     n = len(tokens)
     if not n:
-        return 0
+        return [0] * functions
     buf = b" ".join(tokens)
     if n <= words:
         spans = [(0, len(buf))]
@@ -41,20 +45,27 @@ def fingerprint(data: bytes, words: int = 3) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts = ends - lengths
         spans = list(zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True))
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((functions, 64), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(spans), BLOCK):
-        h = np.array([digest(buf[s:e], 42) for s, e in spans[at : at + BLOCK]], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(spans), bitorder="little").view(np.int64)[0])
+        first = np.array([digest(buf[s:e], 42) for s, e in spans[at : at + BLOCK]], np.uint64)
+        for f in range(functions):
+            h = first if f == 0 else mixed(first * np.uint64(2 * f + 1))
+            counts[f] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(spans), axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def fingerprint(data: bytes, words: int = 3) -> int:
+    """The SimHash of the shingles' XXH64."""
+    return fingerprints(data, words)[0]
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "simhash", words: int = 3) -> DataFrame:
-    """``docs`` with a long column ``out``: the fingerprint of each whole text."""
+def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "simhash", words: int = 3, functions: int = 1) -> DataFrame:
+    """``docs`` with an array ``out`` of the fingerprints of each whole text."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+        return texts.map(lambda t: fingerprints(t, words, functions))
 
     return docs.withColumn(out, hashed(text_bytes(text)))
 
@@ -98,27 +109,36 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 3, heavy: int = HEAVY_
     return near.select(F.least("fp", "fq").alias("x"), F.greatest("fp", "fq").alias("y")).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, max_distance: int = 3) -> DataFrame:
-    """Per row of ``docs``: its id, fingerprint (16 hex digits), class size and component_id.
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, max_distance: int = 3, functions: int = 1) -> DataFrame:
+    """Per row of ``docs``: its id, fingerprint (16 hex digits), component_id and n_same.
 
-    Rows with one fingerprint form a class; only classes are compared, so copies cost no pairs.
+    Rows with the same fingerprints form a class of ``n_same``; only classes are compared, so copies
+    cost no pairs. With several ``functions`` texts link if any of their fingerprints do, which finds
+    more of the copies with several edits.
     """
-    rows = cut(with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", "fp", words).select("_id", "fp"))
-    classes = cut(rows.groupBy("fp").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("n_same")))
-    links = fingerprint_links(classes.select("fp"), max_distance)
-    reps = classes.select("fp", "rep")
-    edges = links.join(reps.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y")
-    parts = connected_components(edges.where("a is not null and b is not null").select("a", "b"))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", "n_same", F.coalesce("component", "rep").alias("component_id"))
-    return salted_join(rows, named, ["fp"]).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
-
-
-def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, max_distance: int = 3) -> DataFrame:
+    rows = cut(with_fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", "fps", words, functions).select("_id", "fps"))
+    classes = cut(rows.groupBy("fps").agg(F.min("_id").cast("long").alias("rep"), F.count("*").alias("n_same")))
+    edges = None
+    for f in range(functions):
+        led = classes.groupBy(F.col("fps")[f].alias("fp")).agg(F.min("rep").alias("lead"))
+        led = cut(led) if functions > 1 else led
+        links = fingerprint_links(led.select("fp"), max_distance)
+        found = links.join(led.select(F.col("fp").alias("x"), F.col("lead").alias("a")), "x").join(led.select(F.col("fp").alias("y"), F.col("lead").alias("b")), "y").select("a", "b")
+        if functions > 1:
+            same = salted_join(classes.select(F.col("fps")[f].alias("fp"), "rep"), led, ["fp"], "inner", salts=2).where("rep != lead")
+            found = found.union(same.select("lead", "rep"))
+        edges = found if edges is None else edges.union(found)
+    parts = connected_components(edges.where("a is not null and b is not null"))
+    named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fps", "n_same", F.coalesce("component", "rep").alias("component_id"))
+    return salted_join(rows, named, ["fps"], salts=2).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, max_distance: int = 3, functions: int = 1) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the least id.
 
     Of repeated rows with that id one stays; rows with a null id stay as they are.
     """
-    found = near_duplicates(docs, text, id_col, words, max_distance)
+    found = near_duplicates(docs, text, id_col, words, max_distance, functions)
     kept = cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")))
     best = docs.join(kept.select(id_col), id_col, "left_semi")
     if not kept.where("_n > 1").isEmpty():

@@ -17,7 +17,7 @@ from pathlib import Path
 import numpy as np
 
 #: Chunks and letter runs remembered by one worker; beyond it the memory starts anew.
-MAX_CHUNKS, MAX_WORDS = 250_000, 600_000
+MAX_CHUNKS, MAX_WORDS = 400_000, 800_000
 #: Letter runs sent to the library in one text.
 JOINED = 2000
 
@@ -78,7 +78,7 @@ class TextEncoder:
                 parts[c] = (word, c[len(body) :])
             else:
                 odd.append(c)
-        new = sorted({w for w, _ in parts.values()} - self.words.keys())
+        new = sorted({w for w, _ in parts.values() if w not in self.words})
         for at in range(0, len(new), JOINED):
             group = new[at : at + JOINED]
             if self.bar is None:
