@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", app: str = "prismwell", **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
