@@ -28,11 +28,15 @@ from .common import LOWER_AZ, cut, text_bytes
 from .filters import HashFilter
 from .spans import as_long, batches_of, mixed, word_hashes, words_of
 
-# fixed values: the seeds, each of weight 5
-MASKS = ("1101011", "11001101", "111001001", "1010011001", "1100010101")
+# fixed values: the seeds, each of weight 5; the first three fit a change of each fifth, fourth and third word
+MASKS = ("111101", "111011", "1101101", "11001011", "1010011001")
 MIN_WORDS, GAP_COST, FULL_SCORE, SCORE_SHARE, LEAST_SCORE = 6, 0.5, 8.0, 0.45, 6.0
 
 
+#: Bits of the map for each seed hash: windows that pass by chance are one in a million.
+MAP_SHARE = 512
+
+
 def seed_hashes(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, hashes) of each mask's windows that lie in one text."""
     for k, mask in enumerate(MASKS):
@@ -94,7 +98,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), text_bytes(item_text).alias("_text")).distinct()
     seeds = cut(items.mapInPandas(_benchmark_seeds, "item string, ipos int, h long").distinct())
     count = seeds.select("h").distinct().count()
-    wanted = HashFilter.of(seeds.select("h").distinct(), count)
+    wanted = HashFilter.of(seeds.select("h").distinct(), count, share=MAP_SHARE)
     longest = items.agg(F.max(F.size(F.split(F.col("_text").cast("string"), r"[\x20\x09-\x0D]+")))).first()[0] or 0
     margin = int(longest)
 

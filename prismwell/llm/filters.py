@@ -13,9 +13,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 16 bits for each hash, from 2**16 to 2**27 bits (16 MB) whatever the data.
+#: From 2**16 to 2**27 bits (16 MB), whatever the data.
 LEAST_BITS, MOST_BITS = 16, 27
-_SECOND = np.uint64(0x8CB92BA72F3D8DD7)
+_OTHERS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @dataclass
@@ -24,9 +24,9 @@ class HashFilter:
     table: Broadcast
 
     @classmethod
-    def of(cls, hashes: DataFrame, count: int, col: str = "h") -> HashFilter:
-        """The filter of a column of well-mixed longs, of which there are about ``count``."""
-        bits = min(MOST_BITS, max(LEAST_BITS, (16 * max(count, 1) - 1).bit_length()))
+    def of(cls, hashes: DataFrame, count: int, col: str = "h", share: int = 16) -> HashFilter:
+        """The filter of a column of well-mixed longs, of which there are about ``count``, with ``share`` bits for each."""
+        bits = min(MOST_BITS, max(LEAST_BITS, (share * max(count, 1) - 1).bit_length()))
 
         @F.pandas_udf("array<long>")
         def places(h: pd.Series) -> pd.Series:
@@ -57,6 +57,6 @@ class HashFilter:
         return passes(F.col(col))
 
 
-def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
     shift = np.uint64(64 - bits)
-    return h >> shift, (h * _SECOND) >> shift
+    return [h >> shift, *((h * m) >> shift for m in _OTHERS)]
