@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at a time; arrays take some 60 bytes for each.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 # fixed values: ASCII white space as the contracts name it, and odd multipliers
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -94,7 +94,7 @@ def leftmost_minima(values: np.ndarray, window: int) -> np.ndarray:
     n = len(values) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, width = values, np.arange(len(values), dtype=np.int64), 1
+    best, at, width = values, np.arange(len(values), dtype=np.int32), 1
     while width < window:
         step = min(width, window - width)
         later = best[step:] < best[:-step]

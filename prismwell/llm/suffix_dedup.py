@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ from .spans import BATCH_BYTES, as_long, batches_of
 GRAM = 145 / 400
 #: Different blocks of one anchor that a task sorts together.
 MAX_BLOCKS = 4096
+#: Rows that a task hands on at a time.
+EMITTED_ROWS = 10_000
 #: Bytes of text that are sorted at a time.
 SORTED_BYTES = 1 << 20
 # fixed values: a difference cover modulo 31
@@ -84,8 +87,9 @@ def _emit_blocks(length: int):
         for pdf in batches:
             texts = pdf["_text"].tolist()
             keys = [_two_longs(t) for t in texts]
-            rows = [(*keys[i], s, n, off, h, *_two_longs(block)) for i, s, n, off, h, block in text_blocks(texts, length)]
-            yield pd.DataFrame(rows, columns=names)
+            found = ((*keys[i], s, n, off, h, *_two_longs(block)) for i, s, n, off, h, block in text_blocks(texts, length))
+            while rows := list(islice(found, EMITTED_ROWS)):
+                yield pd.DataFrame(rows, columns=names)
 
     return blocks
 
