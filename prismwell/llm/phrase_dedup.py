@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ from .blocks import window_blocks
 from .common import cut, salted_join, text_bytes
 from .filters import HashFilter
 from .spans import as_long, batches_of, rolling_hashes, word_hashes, words_of
-from .suffix_dedup import _two_longs, text_digest
+from .suffix_dedup import EMITTED_ROWS, _two_longs, text_digest
 
 #: Share of a window that its anchor gram has: 19 words of 50.
 GRAM = 0.39
@@ -59,8 +60,9 @@ def _emit_blocks(window: int):
         for pdf in batches:
             texts, ids = pdf["_text"].tolist(), pdf["_id"].tolist()
             keys = [_two_longs(t) for t in texts]
-            rows = [(ids[i], *keys[i], s, n, h, *_two_longs(b" ".join(words.split()))) for i, s, n, h, words in text_blocks(texts, window)]
-            yield pd.DataFrame(rows, columns=names)
+            found = ((ids[i], *keys[i], s, n, h, *_two_longs(b" ".join(words.split()))) for i, s, n, h, words in text_blocks(texts, window))
+            while rows := list(islice(found, EMITTED_ROWS)):
+                yield pd.DataFrame(rows, columns=names)
 
     return blocks
 
