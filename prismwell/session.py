@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows and bytes of an Arrow batch: a Python worker holds some batches at a time, whatever the texts' length.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def build_session(master: str = "local[*]", app: str = "prismwell", **conf: str) -> SparkSession:
@@ -25,12 +27,21 @@ def build_session(master: str = "local[*]", app: str = "prismwell", **conf: str)
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Set ARROW_LIMITS where the session has larger ones."""
+    for key, limit in ARROW_LIMITS.items():
+        now = spark.conf.get(key)
+        if not (now or "").isdigit() or not 0 < int(now) <= int(limit):
+            spark.conf.set(key, limit)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application.
 
     Python workers import operators by name, so the modules must be importable
     there; ``addPyFile`` serves the archive from the driver.
     """
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
