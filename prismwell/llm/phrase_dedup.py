@@ -32,7 +32,7 @@ from .blocks import window_blocks
 from .common import cut, salted_join, text_bytes
 from .filters import HashFilter
 from .spans import as_long, batches_of, rolling_hashes, word_hashes, words_of
-from .suffix_dedup import EMITTED_ROWS, _two_longs, text_digest
+from .suffix_dedup import EMITTED_ROWS, _two_longs, docs_by_digest, sought_digest
 
 #: Share of a window that its anchor gram has: 19 words of 50.
 GRAM = 0.39
@@ -128,7 +128,7 @@ def owned_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wind
     needed = cut(salted_join(kinds, shared, ["h"], "inner", salts=2).select("h", "d1", "d2", "kinds", "owner", "r.t1", "r.t2", "r.a", "r.n"))
     texts = cut(needed.select("t1", "t2").distinct())
     wanted = HashFilter.of(texts, texts.count(), "t1")
-    keyed = rows.select("_text").withColumn("_d", text_digest("_text")).select("_d.t1", "_d.t2", "_text").where(wanted.column("t1"))
+    keyed = docs_by_digest(rows, "_text", wanted)
     listed = needed.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "d1", "d2", "kinds", "owner", "a", "n")).alias("b"))  # of one text
     fetched = keyed.groupBy("t1", "t2").agg(F.first("_text").alias("_text")).join(listed, ["t1", "t2"]).select("_text", "b")
     piece = "h long, d1 long, d2 long, kinds long, owner long, n int, block binary"
@@ -207,11 +207,10 @@ def removed_passages(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
             out.append((n, n - len(words), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), text_bytes(text).alias("_bytes")).withColumn("_d", text_digest("_bytes"))
-    rows = rows.select("_id", "_bytes", F.col("_d.t1").alias("t1"), F.col("_d.t2").alias("t2"))
     spans = owned_runs(docs, text, id_col, window)
     wanted = HashFilter.of(spans, spans.count(), "t1")
-    rows = rows.withColumn("_maybe", wanted.column("t1"))
+    rows = docs.select(F.col(id_col).alias("_id"), text_bytes(text).alias("_bytes")).withColumn("_d", sought_digest("_bytes", wanted))
+    rows = rows.select("_id", "_bytes", "_d.t1", "_d.t2", F.col("_d.maybe").alias("_maybe"))
     some = rows.where("_maybe").join(spans, ["t1", "t2"], "left").select("_id", "_bytes", F.expr("filter(runs, r -> r.o < _id)").alias("runs"))
     none = rows.where("not _maybe").select("_id", "_bytes", F.lit(None).cast(some.schema["runs"].dataType).alias("runs"))
     done = some.select("_id", kept("_bytes", "runs").alias("k")).union(none.select("_id", kept("_bytes", "runs").alias("k")))

@@ -250,10 +250,25 @@ def text_digest(col: str) -> Column:
     return digest(F.col(col))
 
 
+def sought_digest(col: str, wanted: HashFilter) -> Column:
+    """The same and ``maybe``: whether the digest's first half may be wanted.
+
+    One Python function does both, and it counts as not deterministic, so that Spark neither chains
+    two workers nor runs it a second time for a filter.
+    """
+
+    @F.pandas_udf("t1 long, t2 long, maybe boolean")
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame([_two_longs(t) for t in texts], columns=["t1", "t2"], dtype="int64")
+        return out.assign(maybe=wanted.maybe(out["t1"].to_numpy().view(np.uint64)))
+
+    return digest.asNondeterministic()(F.col(col))
+
+
 def docs_by_digest(docs: DataFrame, text: str, wanted: HashFilter) -> DataFrame:
     """(t1, t2, _text) of the rows whose digest may be wanted."""
-    keyed = docs.select(text_bytes(text).alias("_text")).withColumn("_d", text_digest("_text"))
-    return keyed.select("_d.t1", "_d.t2", "_text").where(wanted.column("t1"))
+    keyed = docs.select(text_bytes(text).alias("_text")).withColumn("_d", sought_digest("_text", wanted))
+    return keyed.where("_d.maybe").select("_d.t1", "_d.t2", "_text")
 
 
 def byte_spans(runs, length: int) -> list[tuple[int, int]]:
@@ -285,9 +300,8 @@ def _with_runs(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, Data
     """The rows of ``docs`` that may have repeated spans, with their runs, and the others."""
     spans = repeated_spans(docs, text, length)
     wanted = HashFilter.of(spans, spans.count(), "t1")
-    keyed = docs.withColumn("_bytes", text_bytes(text)).withColumn("_d", text_digest("_bytes"))
-    keyed = keyed.withColumn("_t1", F.col("_d.t1")).withColumn("_t2", F.col("_d.t2")).drop("_d")
-    keyed = keyed.withColumn("_maybe", wanted.column("_t1"))
+    keyed = docs.withColumn("_bytes", text_bytes(text)).withColumn("_d", sought_digest("_bytes", wanted))
+    keyed = keyed.withColumns({"_t1": F.col("_d.t1"), "_t2": F.col("_d.t2"), "_maybe": F.col("_d.maybe")}).drop("_d")
     spans = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("runs").alias("_runs"))
     return keyed.where("_maybe").join(spans, ["_t1", "_t2"], "left"), keyed.where("not _maybe")
 
