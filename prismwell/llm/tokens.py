@@ -16,8 +16,8 @@ from pathlib import Path
 
 import numpy as np
 
-#: Chunks and letter runs remembered by one worker; beyond it the memory starts anew.
-MAX_CHUNKS, MAX_WORDS = 400_000, 800_000
+#: Chunks and letter runs remembered in one task; beyond it the memory starts anew.
+MAX_CHUNKS, MAX_WORDS = 250_000, 250_000
 #: Letter runs sent to the library in one text.
 JOINED = 2000
 
@@ -96,6 +96,10 @@ class TextEncoder:
         for c, (w, s) in parts.items():
             self.chunks[c] = self.words[w] + self.chunks[s] if s else self.words[w]
 
+    def forget(self) -> None:
+        """Give the memory back: for the end of a task, as workers live on and Spark keeps several of them."""
+        self.chunks, self.words = {}, {}
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         apart = [i for i, t in enumerate(texts) if not self.by_chunk or any(s in t for s in self.special)]
