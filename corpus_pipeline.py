@@ -14,14 +14,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismwell.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from prismwell.llm import decontaminate, near_copies, packing, quality, suffix_dedup
 from prismwell.llm.common import scratch_path
 from prismwell.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Fingerprint functions of the near-duplicate stage: more of them find copies with more edits.
-FUNCTIONS = 4
+#: Near copies share this part of their shingles of so many words, and are found with at least this chance.
+SIMILARITY, WORDS, RECALL = 0.8, 5, 0.99
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the least id."""
-    return simhash.keep_one_per_group(docs, functions=FUNCTIONS)
+    return near_copies.keep_one_per_group(docs, words=WORDS, least=SIMILARITY, recall=RECALL)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
