@@ -460,13 +460,22 @@ def camera_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", rounded(x).alias("x"), rounded(y).alias("y"), rounded(z).alias("z"))
 
 
+def _faces(li: DataFrame) -> DataFrame:
+    """Lines as edges of meshes: flag, status and line number name the mesh."""
+    return li.select(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("mesh"), F.col("l_suppkey").alias("u"), (F.col("l_suppkey") + F.col("l_partkey") % 3).alias("v")).distinct()
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag || l_linestatus || l_linenumber AS mesh, l_suppkey AS u, l_suppkey + l_partkey % 3 AS v FROM lineitem WHERE l_quantity >= 49),
           b AS (SELECT mesh, u, v FROM e UNION SELECT mesh, v, u FROM e), r(mesh, node, least) AS (SELECT mesh, u, u FROM b UNION SELECT b.mesh, b.v, r.least FROM r JOIN b ON b.mesh = r.mesh AND b.u = r.node AND r.least < b.v),
           c AS (SELECT mesh, node, min(least) AS component FROM r GROUP BY 1, 2) SELECT mesh, component, count(*) AS size FROM c GROUP BY 1, 2""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    e = li.select(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("mesh"), F.col("l_suppkey").alias("u"), (F.col("l_suppkey") + F.col("l_partkey") % 3).alias("v")).distinct()
-    return geometry.component_sizes(e, "mesh", "u", "v")
+    return geometry.component_sizes(_faces(table(spark, sf_dir, "lineitem").where("l_quantity >= 49")), "mesh", "u", "v")
+
+
+@query()
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all edges; ``components`` has those of the rows that its SQL selects."""
+    return geometry.component_sizes(_faces(table(spark, sf_dir, "lineitem")), "mesh", "u", "v")
 
 
 @query()
