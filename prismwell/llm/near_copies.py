@@ -6,8 +6,8 @@ Segments are about as long as the table's row count needs for chance buckets to
 that share one are kept if an independent fingerprint is near, and then verified by their shingles.
 
 In a bucket each member is first compared with the least one only. Where that leaves several
-components, all pairs of different components follow, so a bucket full of copies costs no square
-of its size and no link between components is lost.
+components, all pairs of different components follow, so no link between components is lost. Copies
+that the least ones join cost no square of their number; many that they leave apart still do.
 
 Edge cases: null and blank texts have the empty set and are copies of one another; a text of fewer
 words than a shingle is one shingle; rows with a null id stay; repeated rows keep one.
