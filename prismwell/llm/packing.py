@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", id_col: str =
                         rows += closed(w)
                     at += length
             yield pd.DataFrame(rows, columns=names)
-        enc.forget()
+        enc.trim()
         left = [(*p, (part << SEQUENCE_BITS) + k, at, True, part) for k, w in enumerate(state.open) for p, at in w[1]]
         yield pd.DataFrame(left, columns=names)
 

@@ -50,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, text: st
         enc = encoder(tokenizer_path)
         for pdf in batches:
             yield pd.DataFrame({"digest": pdf["digest"], "n_tokens": [len(i) // 4 for i in enc.ids(pdf["_text"].tolist())]})
-        enc.forget()
+        enc.trim()
 
     known = stored_counts(docs, cache_path, version)
     missing = content.select("digest", "_text") if known.isEmpty() else content.select("digest", "_text").join(known, "digest", "left_anti")

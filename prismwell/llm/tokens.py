@@ -12,14 +12,16 @@ import hashlib
 import json
 import os
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
 
-#: Chunks and letter runs remembered in one task; beyond it the memory starts anew.
-MAX_CHUNKS, MAX_WORDS = 250_000, 250_000
+#: Chunks and letter runs remembered; beyond it only the first ``KEPT`` of each stay, as frequent ones are met early.
+MAX_CHUNKS, MAX_WORDS, KEPT = 350_000, 200_000, 100_000
 #: Letter runs sent to the library in one text.
 JOINED = 2000
+_STOPS = b".,;:!?"
 
 # fixed values: pre-processing known to treat white-space-separated chunks apart from each other
 _CHUNK_NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
@@ -38,6 +40,7 @@ class TextEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.special: list[bytes] = []
         self.by_chunk = False
+        self.final: np.ndarray | None = None
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -57,48 +60,60 @@ class TextEncoder:
             rest = all(p.get("type") == "ByteLevel" and not p.get("use_regex") and not p.get("add_prefix_space") for p in pre[1:])
             norm = (spec.get("normalizer") or {}).get("normalizers") or []
             self.by_chunk = bool(split and rest and not spec.get("post_processor") and all(n in _CHUNK_NORMALIZERS for n in norm))
-            bar = tok.encode("|", add_special_tokens=False).ids
-            self.bar = bar[0] if len(bar) == 1 else None
+            suffix = spec["model"].get("end_of_word_suffix")
+            if suffix:
+                # the last token of a letter run, and no other, is a word-final piece
+                self.final = np.zeros(tok.get_vocab_size() + 1, bool)
+                self.final[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
         self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         return [np.asarray(i, "<u4").tobytes() for i in self._encode([t.decode("utf-8", "replace") for t in texts])]
 
+    def _spell(self, group: list[bytes]) -> list[bytes]:
+        """The ids of each letter run."""
+        if self.final is not None:
+            ids = np.asarray(self._encode([b" ".join(group).decode("utf-8", "replace")])[0], "<u4")
+            ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+            if len(ends) == len(group):
+                data, ends = ids.tobytes(), ends.tolist()
+                return [data[s:e] for s, e in zip([0, *ends], ends)]  # noqa: B905
+        return self.whole(group)
+
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.words) > MAX_WORDS:
-            self.words = {}
-        parts: dict[bytes, tuple[str, bytes]] = {}
+            self.words = dict(islice(self.words.items(), KEPT))
+        known = self.words
+        parts: list[tuple[bytes, bytes, bytes]] = []
         odd: list[bytes] = []
+        new: dict[bytes, None] = {}
         for c in chunks:
             # letters, then one run of plain stops: two tokens of the pre-processing, each with ids of its own
-            body = c.rstrip(b".,;:!?")
-            word = body.decode("utf-8", "replace").lower() if body.isascii() else body.decode("utf-8", "replace")
-            if word.isalpha():
-                parts[c] = (word, c[len(body) :])
-            else:
+            body = c.rstrip(_STOPS)
+            if body.isalpha():  # of ASCII letters alone
+                word = body.lower()
+            elif body.isascii() or not body.decode("utf-8", "replace").isalpha():
                 odd.append(c)
-        new = sorted({w for w, _ in parts.values() if w not in self.words})
-        for at in range(0, len(new), JOINED):
-            group = new[at : at + JOINED]
-            if self.bar is None:
-                self.words |= zip(group, self.whole([w.encode() for w in group]), strict=True)
                 continue
-            ids = np.asarray(self._encode([" | ".join(group)])[0], "<u4")
-            ends = [*np.flatnonzero(ids == self.bar).tolist(), len(ids)]
-            start = 0
-            for w, end in zip(group, ends, strict=True):
-                self.words[w] = ids[start:end].tobytes()
-                start = end + 1
-        tails = {s for _, s in parts.values() if s and s not in self.chunks}
-        plain = [*odd, *tails]
-        self.chunks |= zip(plain, self.whole(plain), strict=True)
-        for c, (w, s) in parts.items():
-            self.chunks[c] = self.words[w] + self.chunks[s] if s else self.words[w]
-
-    def forget(self) -> None:
-        """Give the memory back: for the end of a task, as workers live on and Spark keeps several of them."""
-        self.chunks, self.words = {}, {}
+            else:
+                word = body
+            parts.append((c, word, c[len(body) :]))
+            if word not in known:
+                new[word] = None
+        fresh = list(new)
+        for at in range(0, len(fresh), JOINED):
+            group = fresh[at : at + JOINED]
+            known.update(zip(group, self._spell(group), strict=True))
+        plain = [*odd, *{s for _, _, s in parts if s and s not in self.chunks}]
+        learned = self.chunks
+        learned.update(zip(plain, self.whole(plain), strict=True))
+        for c, w, s in parts:
+            learned[c] = known[w] + learned[s] if s else known[w]
+
+    def trim(self) -> None:
+        """Give most of the memory back: for the end of a task, as workers live on and Spark keeps several of them."""
+        self.chunks, self.words = dict(islice(self.chunks.items(), KEPT)), dict(islice(self.words.items(), KEPT))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -108,7 +123,7 @@ class TextEncoder:
         for i, t in enumerate(texts):
             if out[i] is None:
                 if len(self.chunks) > MAX_CHUNKS:
-                    self.chunks = {}
+                    self.chunks = dict(islice(self.chunks.items(), KEPT))
                 pieces = t.split()
                 try:
                     out[i] = b"".join(map(self.chunks.__getitem__, pieces))
