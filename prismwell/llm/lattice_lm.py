@@ -7,8 +7,9 @@ lattices. The forward recursion runs in log space over all words of one length a
 
 Each distinct word is weighed once, wherever it occurs. Word counts and piece counts come from all
 training texts. A word's share of a text's score reaches the text in one of two ways with the same
-result: the ``head`` most frequent short words as a broadcast table of bounded size, all others by
-a join on the word.
+result: the ``head`` most frequent words as a broadcast table of bounded size (long ones by their
+digests), all others by a join on the word. What is joined is no more frequent than the least word of
+the head, so no key of that join is hot.
 
 Edge cases: null and blank texts are an end alone; repeated rows count and are scored each; a null
 id has the remainder of the empty text; without training texts every piece is equally likely; an
@@ -17,6 +18,7 @@ empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -28,10 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import digests
 from .common import LOWER_AZ, crc_mod, salted_join, scratch_path, text_bytes
-from .suffix_dedup import _two_longs, text_digest
+from .suffix_dedup import text_digest
 
-#: Words of the broadcast table, and the longest word it may hold, in bytes: 16 MB at most.
+#: Words of the broadcast table, and the longest that stand in it as they are, in bytes: 16 MB at most.
 HEAD_WORDS, HEAD_BYTES = 1 << 18, 64
 #: Rounds of expectation maximisation, and what is added to every piece's expected count.
 ROUNDS, SMOOTHING = 2, 0.5
@@ -42,7 +45,7 @@ LATTICE_BYTES = 1 << 17
 _LN10 = float(np.log(10.0))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_TABLE_BITS = 18
+_TABLE_BITS, _PREFIX_BITS = 18, 22
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -83,6 +86,7 @@ class Lattice:
         self.keys = np.zeros((2, size), np.uint64)
         self.slots = np.full((2, size), -1, np.int32)
         self.probes = 1
+        self.begun = np.zeros(1 << _PREFIX_BITS, bool)  # whether a piece may go on after what hashes to this
         hashes = np.zeros(len(self.pieces), np.uint64)
         for n in {len(p) for p in self.pieces}:
             at = [i for i, p in enumerate(self.pieces) if len(p) == n]
@@ -90,6 +94,8 @@ class Lattice:
             h = np.zeros(len(at), np.uint64)
             for j in range(n):
                 h = h * _MULTIPLIER + b[:, j].astype(np.uint64) + np.uint64(1)
+                if j < n - 1:
+                    self.begun[(_mixed(h) >> np.uint64(64 - _PREFIX_BITS)).astype(np.int64)] = True
             hashes[at] = _mixed(h)
         for i, h in enumerate(hashes.tolist()):
             side, at, steps = int(self.final[i]), h >> (64 - _TABLE_BITS), 1
@@ -103,91 +109,114 @@ class Lattice:
         p = 1.0 / (np.arange(len(self.pieces) + 1) + 100.0)
         return np.log(p / p.sum())
 
-    def _lookup(self, h: np.ndarray, side: int) -> np.ndarray:
-        h = _mixed(h)
+    def _lookup(self, h: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """The piece of each mixed hash, or -1; ``side`` tells inner from final pieces."""
         at = (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        found = np.where(self.keys[side][at] == h, self.slots[side][at], -1)
-        more = np.flatnonzero((found < 0).ravel() & (self.slots[side][at] >= 0).ravel())
-        h, at, flat = h.ravel(), at.ravel(), found.ravel()
+        slot = self.slots[side, at]
+        found = np.where(self.keys[side, at] == h, slot, -1)
+        more = np.flatnonzero((found < 0) & (slot >= 0))
         for _ in range(self.probes - 1):
             if not len(more):
                 break
             at[more] = (at[more] + 1) & ((1 << _TABLE_BITS) - 1)
-            slot = self.slots[side][at[more]]
-            hit = (self.keys[side][at[more]] == h[more]) & (slot >= 0)
-            flat[more[hit]] = slot[hit]
+            slot = self.slots[side[more], at[more]]
+            hit = (self.keys[side[more], at[more]] == h[more]) & (slot >= 0)
+            found[more[hit]] = slot[hit]
             more = more[~hit & (slot >= 0)]
-        return flat.reshape(found.shape)
+        return found
 
-    def arcs(self, words: np.ndarray) -> list[np.ndarray]:
-        """For each piece length: the piece at every start of every word, or -1. Words have one length."""
+    def arcs(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, starts, pieces) for each piece length: all pieces at all places. Words have one length.
+
+        A place is followed no further once what it reads is the beginning of no piece.
+        """
         m, n = words.shape
-        h = np.zeros((m, n), np.uint64)
         letters = words.astype(np.uint64) + np.uint64(1)
+        row = np.repeat(np.arange(m, dtype=np.int32), n)
+        start = np.tile(np.arange(n, dtype=np.int32), m)
+        h = np.zeros(m * n, np.uint64)
         out = []
         for size in range(1, min(n, self.longest) + 1):
-            h = h[:, : n - size + 1] * _MULTIPLIER + letters[:, size - 1 :]
-            ids = np.empty((m, n - size + 1), np.int32)
-            ids[:, :-1] = self._lookup(h[:, :-1], 0)
-            ids[:, -1] = self._lookup(h[:, -1], 1)
-            out.append(ids)
+            h = h * _MULTIPLIER + letters[row, start + (size - 1)]
+            x = _mixed(h)
+            ids = self._lookup(x, (start + size == n).astype(np.int8))
+            some = ids >= 0
+            out.append((row[some], start[some], ids[some]))
+            on = self.begun[(x >> np.uint64(64 - _PREFIX_BITS)).astype(np.int64)] & (start + size < n)
+            row, start, h = row[on], start[on], h[on]
+            if not len(row):
+                break
         return out
 
     @staticmethod
-    def _sum(terms: list[np.ndarray]) -> np.ndarray:
-        if len(terms) == 1:
-            return terms[0]
+    def _sum(terms: list[np.ndarray], m: int) -> np.ndarray:
+        if len(terms) < 2:
+            return terms[0] if terms else np.full(m, -np.inf)
         t = np.stack(terms)
         top = t.max(axis=0)
-        return top + np.log(np.exp(t - np.where(np.isfinite(top), top, 0.0)).sum(axis=0))
-
-    def forward(self, arcs: list[np.ndarray], logp: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(log sums up to each place, log probabilities of the arcs)."""
-        m, n = arcs[0].shape
-        weight = np.append(logp[: len(self.pieces)], -np.inf)
-        lp = [weight[a] for a in arcs]
-        alpha = np.full((m, n + 1), -np.inf)
-        alpha[:, 0] = 0.0
+        t -= np.where(np.isfinite(top), top, 0.0)
+        return top + np.log(np.exp(t, out=t).sum(axis=0))
+
+    def weights(self, arcs: list[tuple], logp: np.ndarray, m: int, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each piece length: (log probabilities by start and word, how many arcs each start has)."""
+        out = []
+        for size, (row, start, ids) in enumerate(arcs, 1):
+            w = np.full((n - size + 1, m), -np.inf)
+            w[start, row] = logp[ids]
+            out.append((w, np.bincount(start, minlength=n - size + 1)))
+        return out
+
+    def forward(self, weights: list[tuple], m: int, n: int) -> np.ndarray:
+        """Log sums over all segmentations up to each place, by place and word."""
+        alpha = np.full((n + 1, m), -np.inf)
+        alpha[0] = 0.0
         with np.errstate(divide="ignore"):
             for j in range(1, n + 1):
-                alpha[:, j] = self._sum([alpha[:, j - s] + lp[s - 1][:, j - s] for s in range(1, min(j, len(arcs)) + 1)])
-        return alpha, lp
+                alpha[j] = self._sum([alpha[j - s] + w[j - s] for s, (w, many) in enumerate(weights[:j], 1) if many[j - s]], m)
+        return alpha
+
+    def backward(self, weights: list[tuple], m: int, n: int) -> np.ndarray:
+        """The same from each place to the end."""
+        beta = np.full((n + 1, m), -np.inf)
+        beta[n] = 0.0
+        with np.errstate(divide="ignore"):
+            for i in range(n - 1, -1, -1):
+                beta[i] = self._sum([w[i] + beta[i + s] for s, (w, many) in enumerate(weights[: n - i], 1) if many[i]], m)
+        return beta
 
     def groups(self, words: list[bytes]):
         """(indices, byte matrix) of words of one length, in bounded batches."""
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
-        for n, at in by.items():
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if not len(at):
+                continue
+            n = int(lengths[at[0]])
             step = max(1, LATTICE_BYTES // n)
             for k in range(0, len(at), step):
                 part = at[k : k + step]
-                yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(-1, n)
+                yield part, np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8).reshape(-1, n)
 
     def log_probabilities(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
         """The natural log of each word's marginal probability."""
         out = np.zeros(len(words))
-        for at, m in self.groups(words):
-            out[at] = self.forward(self.arcs(m), logp)[0][:, -1]
+        for at, letters in self.groups(words):
+            m, n = letters.shape
+            out[at] = self.forward(self.weights(self.arcs(letters), logp, m, n), m, n)[n]
         return out
 
     def expected(self, words: list[bytes], times: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected counts of all pieces in words that occur so many times."""
         counts = np.zeros(len(self.pieces) + 1)
-        for at, m in self.groups(words):
-            arcs = self.arcs(m)
-            alpha, lp = self.forward(arcs, logp)
-            n = m.shape[1]
-            beta = np.full_like(alpha, -np.inf)
-            beta[:, n] = 0.0
-            with np.errstate(divide="ignore"):
-                for i in range(n - 1, -1, -1):
-                    beta[:, i] = self._sum([lp[s - 1][:, i] + beta[:, i + s] for s in range(1, min(n - i, len(arcs)) + 1)])
-            c = times[at][:, None]
-            for s, (ids, w) in enumerate(zip(arcs, lp, strict=True), 1):
-                some = ids >= 0
-                post = np.exp(alpha[:, : n - s + 1] + w + beta[:, s:] - alpha[:, -1:]) * c
-                counts += np.bincount(ids[some], weights=post[some], minlength=len(counts))
+        for at, letters in self.groups(words):
+            m, n = letters.shape
+            arcs = self.arcs(letters)
+            weights = self.weights(arcs, logp, m, n)
+            alpha, beta = self.forward(weights, m, n), self.backward(weights, m, n)
+            c = times[at]
+            for s, (row, start, ids) in enumerate(arcs, 1):
+                post = np.exp(alpha[start, row] + logp[ids] + beta[start + s, row] - alpha[n, row]) * c[row]
+                counts += np.bincount(ids, weights=post, minlength=len(counts))
         return counts
 
     def learned(self, counts: np.ndarray, ends: float) -> np.ndarray:
@@ -209,30 +238,28 @@ def _words(text: bytes) -> list[bytes]:
 
 
 def count_words(docs: DataFrame, text: str, id_col: str, folds: int, left_out: int) -> DataFrame:
-    """(word, c): every word of the texts and its number of occurrences in training texts.
+    """(word, c, m): every word of the texts, its occurrences in training texts, and in all texts.
 
     The empty word stands for the end; a word that only texts left out have has c = 0.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        frame = lambda: pd.DataFrame({"word": list(seen), "c": list(seen.values())}).astype({"c": "int64"})
+        train, rest = Counter(), Counter()
+
+        def frame() -> pd.DataFrame:
+            return pd.DataFrame({"word": [*train, *rest], "c": [*train.values(), *[0] * len(rest)], "m": [*train.values(), *rest.values()]}).astype({"c": "int64", "m": "int64"})
+
         for pdf in batches:
-            for t, train in zip(pdf["_text"], pdf["train"], strict=True):
-                words = _words(t)
-                if train:
-                    seen.update(words)
-                    seen[b""] += 1
-                else:
-                    for w in words:
-                        seen.setdefault(w, 0)
-                if len(seen) > COUNTED_WORDS:
+            for t, trains in zip(pdf["_text"], pdf["train"], strict=True):
+                (train if trains else rest).update([*_words(t), b""])
+                if len(train) + len(rest) > COUNTED_WORDS:
                     yield frame()
-                    seen.clear()
+                    train.clear()
+                    rest.clear()
         yield frame()
 
     rows = docs.select(text_bytes(text).alias("_text"), (crc_mod(id_col, folds) != left_out).alias("train"))
-    return rows.mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.mapInPandas(counted, "word binary, c long, m long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
 
 
 def learn_pieces(vocab: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -257,21 +284,25 @@ def learn_pieces(vocab: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -
     return logp
 
 
-def head_count(vocab: DataFrame, most: int = HEAD_WORDS, longest: int = HEAD_BYTES) -> int:
-    """The least count from which on at most ``most`` short words occur; found from a histogram of some hundred rows."""
-    short = vocab.where((F.octet_length("word") > 0) & (F.octet_length("word") <= longest) & (F.col("c") > 0))
-    # counts up to 64 have a step each, larger ones 16 steps to each doubling
-    step = F.when(F.col("c") <= 64, F.col("c")).otherwise(64 + F.floor((F.log2("c") - 6) * 16)).cast("long")
-    rows = short.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.desc("step")).collect()
+def head_count(vocab: DataFrame, most: int = HEAD_WORDS) -> int:
+    """The least number of occurrences from which on there are at most ``most`` words; found from a histogram of some hundred rows."""
+    # numbers up to 64 have a step each, larger ones 16 steps to each doubling
+    step = F.when(F.col("m") <= 64, F.col("m")).otherwise(64 + F.floor((F.log2("m") - 6) * 16)).cast("long")
+    rows = vocab.where(F.octet_length("word") > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("m").alias("m")).orderBy(F.desc("step")).collect()
     total, least = 0, (1 << 62)
     for r in rows:
         total += r["n"]
         if total > most:
             break
-        least = r["c"]
+        least = r["m"]
     return least
 
 
+def _head_key(word: bytes) -> bytes:
+    """A short word itself; a long one's digest after a space, which no word has."""
+    return word if len(word) <= HEAD_BYTES else b" " + hashlib.sha256(word).digest()[:16]
+
+
 def score_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", id_col: str = "doc_id", folds: int = 5, left_out: int = 1, rounds: int = ROUNDS) -> DataFrame:
     """Per row: its id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -287,13 +318,16 @@ def score_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", id_co
 
     def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(lp=lattice(path).log_probabilities(pdf["word"].tolist(), logp) / _LN10)
-
-    scored = vocab.where(F.octet_length("word") > 0).mapInPandas(weighed, "word binary, c long, lp double")
-    least = head_count(vocab)
-    is_head = (F.col("c") >= least) & (F.octet_length("word") <= HEAD_BYTES)
+            words = pdf["word"].tolist()
+            yield pdf.assign(key=[_head_key(w) for w in words], lp=lattice(path).log_probabilities(words, logp) / _LN10)
+
+    # every word is weighed once; the table is read for the head and for the tail
+    at = scratch_path(spark, "weights")
+    vocab.where(F.octet_length("word") > 0).mapInPandas(weighed, "word binary, c long, m long, key binary, lp double").write.parquet(at)
+    scored = spark.read.parquet(at)
+    is_head = F.col("m") >= head_count(vocab)
     base = lambda c: float(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
-    head = {bytes(r["word"]): (base(r["c"]), r["lp"]) for r in scored.where(is_head).collect()}  # HEAD_WORDS of HEAD_BYTES at most
+    head = {bytes(r["key"]): (base(r["c"]), r["lp"], int(r["c"] > 0)) for r in scored.where(is_head).select("key", "c", "lp").collect()}  # HEAD_WORDS of HEAD_BYTES at most
     shared = spark.sparkContext.broadcast(head)
     end = (base(ends), float(logp[-1]) / _LN10, int(ends > 0))
 
@@ -302,14 +336,14 @@ def score_texts(docs: DataFrame, vocabulary_path: str, text: str = "text", id_co
         for pdf in batches:
             out: dict[str, list] = {c: [] for c in ("t1", "t2", "word", "n", "base", "lp", "known")}
             for t in pdf["_text"]:
-                t1, t2 = _two_longs(t)
+                t1, t2 = digests([t])[0].tolist()
                 base_sum, lp_sum, known, tokens, rest = end[0], end[1], end[2], 1, []
                 for w, k in Counter(_words(t)).items():
                     tokens += k
-                    if (x := table.get(w)) is not None:
+                    if (x := table.get(w if len(w) <= HEAD_BYTES else _head_key(w))) is not None:
                         base_sum += k * x[0]
                         lp_sum += k * x[1]
-                        known += k
+                        known += k * x[2]
                     else:
                         rest.append((w, k))
                 # the text's own row: its key holds a space, so it is no word and meets none
