@@ -5,9 +5,11 @@ number of segments, and with it that of the fingerprint functions, follows from
 Segments are about as long as the table's row count needs for chance buckets to stay small; pairs
 that share one are kept if an independent fingerprint is near, and then verified by their shingles.
 
-In a bucket each member is first compared with the least one only. Where that leaves several
-components, all pairs of different components follow, so no link between components is lost. Copies
-that the least ones join cost no square of their number; many that they leave apart still do.
+In a bucket each member is first compared with a leader only; segments take turns at some orders of
+the documents, so a group has several leaders. Where that leaves several components, all pairs of
+different components follow, so no link between components is lost. In large buckets all fingerprints
+are compared for that, not one: two thousand bits tell a similarity of 0.8 from one of 0.7, so texts
+edited beyond the threshold are not verified against all others.
 
 Edge cases: null and blank texts have the empty set and are copies of one another; a text of fewer
 words than a shingle is one shingle; rows with a null id stay; repeated rows keep one.
@@ -30,8 +32,14 @@ BLOCK = 4096
 #: The greatest chance that a bit differs at similarity 0.8: the limit for large sets is
 #: acos(0.8 / 0.9) / pi = 0.1515, sets of 14 against 13 shingles have the most, 0.1612 (4 against 5, with 0.1875, are linked exactly).
 FLIP = 0.1612
+#: The same where both sets have 50 shingles or more, from all sizes of sets by their binomials: 52 shared, 6 and 7 own.
+LONG_SET, LONG_FLIP = 50, 0.1541
 #: Similarity that FLIP belongs to.
 LEAST = 0.8
+#: Orders by which leaders of buckets are chosen.
+LEADERS = 4
+#: Members from which on a bucket is large, and fingerprints compared in it.
+LARGE, WIDE = 4, 32
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -77,18 +85,25 @@ def signature(shingles: np.ndarray, functions: int) -> np.ndarray:
     return np.packbits(counts * 2 > len(shingles), axis=1, bitorder="little").view(np.int64).ravel()
 
 
+def radius_for(bits: int, loss: float, flip: float = FLIP) -> int:
+    """How many of so many bits differ at most in a pair at ``flip``, but for this chance; from the binomial distribution."""
+    radius, log_choose = 0, 0.0
+    within = (1 - flip) ** bits
+    while 1 - within > loss and radius < bits:
+        radius += 1
+        log_choose += math.log((bits - radius + 1) / radius)
+        within += math.exp(log_choose + radius * math.log(flip) + (bits - radius) * math.log1p(-flip))
+    return radius
+
+
 def segments_for(rows: int, recall: float) -> tuple[int, int, int]:
     """(bits of a segment, segments, radius of the independent fingerprint) for pairs at FLIP.
 
-    Segments may lose nine tenths of 1 - ``recall``, the radius one tenth.
+    Segments may lose nine tenths of 1 - ``recall``, the radius a twentieth, that of all fingerprints the last.
     """
     width = min(32, max(12, rows.bit_length() + 1))
     number = math.ceil(math.log(0.9 * (1 - recall)) / math.log1p(-((1 - FLIP) ** width)))
-    radius, within = 0, (1 - FLIP) ** 64
-    while 1 - within > 0.1 * (1 - recall):
-        radius += 1
-        within += math.comb(64, radius) * FLIP**radius * (1 - FLIP) ** (64 - radius)
-    return width, number, radius
+    return width, number, radius_for(64, 0.05 * (1 - recall))
 
 
 def with_signatures(docs: DataFrame, functions: int, words: int) -> DataFrame:
@@ -110,15 +125,19 @@ def with_signatures(docs: DataFrame, functions: int, words: int) -> DataFrame:
     return docs.withColumn("_s", signed("_text")).select("_id", "_s.*")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more."""
+def with_sets(reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(_id, s): the shingle sets, as sorted arrays, of the ids of ``reps``."""
 
     @F.pandas_udf("array<long>")
     def hashed(t: pd.Series) -> pd.Series:
         return pd.Series([as_long(s) for s in shingle_sets(list(t), words)], dtype=object)
 
-    ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(ids, "_id", "left_semi").select("_id", hashed("_text").alias("s")))
+    return texts.join(reps, "_id", "left_semi").select("_id", hashed("_text").alias("s"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    sets = cut(with_sets(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), texts, words))
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"))
@@ -145,21 +164,32 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     key = F.expr(f"transform(sequence(0L, {number - 1}L), i -> shiftleft(i, {width}) | (shiftrightunsigned(fps[int(i div {per})], int((i % {per}) * {width})) & {mask}L))")
     banded = classes.where("n > 0").select("rep", F.element_at("fps", -1).alias("fp"), F.explode(key).alias("key"))
     bucket = Window.partitionBy("key")
-    met = banded.select("*", F.count("*").over(bucket).alias("k"), F.min(F.struct("rep", "fp")).over(bucket).alias("lead")).where("k > 1")
-    met = cut(met)
+    order = F.xxhash64("rep", F.expr(f"shiftright(key, {width}) % {LEADERS}")).alias("order")
+    met = banded.select("*", F.count("*").over(bucket).alias("k"), F.min(F.struct(order, "rep", "fp")).over(bucket).alias("lead")).where("k > 1")
+    met = cut(met.select("rep", "fp", "key", "k", F.struct("lead.rep", "lead.fp").alias("lead")))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-    stars = cut(met.where(near("fp", "lead.fp") & (F.col("rep") != F.col("lead.rep"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    stars = cut(met.where(near("fp", "lead.fp") & (F.col("rep") != F.col("lead.rep"))).select(F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b")).distinct())
     small = classes.where("n = 5").select(F.col("rep").alias("a"), F.inline("less")).join(classes.where("n = 4").select(F.col("rep").alias("b"), *digest), digest).select("a", "b")
     edges = verified(stars, reps, least, words).union(small)
     parts = cut(connected_components(edges).withColumnRenamed("node", "rep"))
 
-    more = met.where("k > 2").select("rep", "fp", "key")
-    more = salted_join(more, parts, ["rep"]).select("rep", "fp", "key", F.coalesce("component", "rep").alias("part"))
+    more = met.where("k > 2").select("rep", "fp", "key", "k")
+    more = salted_join(more, parts, ["rep"]).select("rep", "fp", "key", "k", F.coalesce("component", "rep").alias("part"))
     size = more.select("*", F.count("*").over(Window.partitionBy("key", "part")).alias("size"))
     most = F.max(F.struct("size", "part")).over(bucket)
-    split = cut(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "fp", "key", "part", (F.col("part") == F.col("most.part")).alias("main")))
-    left = split.where("not main").select("key", F.col("rep").alias("r"), F.col("fp").alias("f"), F.col("part").alias("p"))
-    across = left.join(split, "key").where((F.col("p") != F.col("part")) & near("fp", "f")).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
+    split = cut(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
+    large = F.col("k") > LARGE
+    wide = min(functions, WIDE)
+    loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
+    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.f")[i].bitwiseXOR(F.col(f"{y}.f")[i])) for i in range(1, wide)), F.bit_count(F.col(f"{x}.f")[0].bitwiseXOR(F.col(f"{y}.f")[0])))
+    close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
+    full = salted_join(split.where(large), classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), ["rep"], "inner", salts=2)
+
+    def pairs_of(rows: DataFrame, fp: str, close) -> DataFrame:
+        left = rows.where("not main").select("key", F.col("rep").alias("r"), F.col(fp).alias("f"), F.col("part").alias("p"))
+        return left.join(rows, "key").where((F.col("p") != F.col("part")) & close(fp, "f")).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
+
+    across = pairs_of(split.where(~large), "fp", near).union(pairs_of(full, "fps", close)).distinct()
     across = cut(across.join(stars, ["a", "b"], "left_anti"))
     parts = connected_components(edges.union(verified(across, reps, least, words)))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
