@@ -47,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one struct ``_row``; whatever they are called, they clash with no name outside it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def text_bytes(col: str | Column) -> Column:
     """The column as UTF-8 bytes, null as empty."""
     c = F.col(col) if isinstance(col, str) else col
@@ -59,14 +64,15 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 16, by: Column | None = None) -> DataFrame:
     """Join with ``small``, unique on the key, where one key may hold a third of ``big``.
 
     The salt spreads a hot key over ``salts`` tasks; ``small`` is repeated that often. As the salt
     is no key of the aggregate that made ``small``, both sides are exchanged, so that adaptive
-    execution can split what is still uneven.
+    execution can split what is still uneven. The salt is a hash of the other columns, or of ``by``
+    where rows may agree in all of them; a row number serves if ``big`` is a table that was written.
     """
-    rest = [c for c in big.columns if c not in on] or big.columns
+    rest = [by] if by is not None else [c for c in big.columns if c not in on] or big.columns
     keyed = big.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return keyed.join(spread, [*on, "_salt"], how).drop("_salt")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, cut, text_bytes
+from .common import LOWER_AZ, cut, salted_join, text_bytes, whole_rows
 from .filters import HashFilter
 from .spans import as_long, batches_of, mixed, word_hashes, words_of
 
@@ -127,15 +127,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), text_bytes(text).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     near = cut(rows.mapInPandas(scan, "_id string, text_hash long, lo int, words array<long>, pos array<int>, h array<long>").withColumn("part", F.xxhash64("_id", "text_hash", "lo")))
     hits = near.select("part", F.explode(F.arrays_zip("pos", "h")).alias("z")).select("part", "z.pos", "z.h")
-    diagonals = hits.join(seeds, "h").select("part", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
+    # a phrase of many documents and many items: its documents are dealt over tasks
+    diagonals = salted_join(hits, seeds, ["h"], "inner", by=F.col("part")).select("part", "item", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                w, i = np.asarray(r.words), np.asarray(r.iwords)
-                lo, hi = max(0, -r.shift), min(len(i), len(w) - r.shift)
-                equal = w[lo + r.shift : hi + r.shift] == i[lo:hi]
+                w, i = np.asarray(r.words), np.asarray(r.iwords)  # the words that lie beside the item
+                lo = max(0, -r.shift)
+                equal = w == i[lo : lo + len(w)]
                 score, s, e = stretch(equal)
                 if score >= least_score(len(i)):
                     m = int(equal[s:e].sum())
@@ -144,14 +145,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
 
     item_words = items.mapInPandas(_benchmark_words, "item string, iwords array<long>")
     texts = near.select(F.col("_id").alias("doc"), "text_hash", "lo", "words", "part").dropDuplicates(["part"])
-    met = diagonals.join(texts, "part").join(item_words, "item").select("doc", "text_hash", "lo", "words", "shift", "item", "iwords")
+    met = diagonals.join(texts, "part").join(item_words, "item")
+    met = met.select("doc", "text_hash", "lo", F.expr("slice(words, greatest(shift, 0) + 1, least(size(iwords) + least(shift, 0), size(words)))").alias("words"), "shift", "item", "iwords")
     checked = met.mapInPandas(verify, "doc string, text_hash long, item string, item_words int, matched int, overlap double, score double, start int")
     best = checked.groupBy("doc", "text_hash", "item").agg(F.max(F.struct("score", "matched", -F.col("start"), "item_words", "overlap", "start")).alias("b"))
     return best.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("item").cast(benchmark.schema[item_col].dataType).alias(item_col), "b.item_words", "b.matched", "b.overlap", "b.score", "b.start", "text_hash")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, told apart by id and text."""
-    bad = overlaps(docs, benchmark, text, id_col).select(F.col(id_col).alias("_id"), "text_hash").distinct()
-    keyed = docs.withColumn("_hash", F.xxhash64(text_bytes(text)))
-    return keyed.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("text_hash")), "left_anti").select(docs.columns)
+    """The rows of ``docs`` that overlap with no item, told apart by id and text; columns may have any names."""
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    bad = overlaps(plain, benchmark, "_text", "_id").select(F.col("_id").alias("_bad"), F.col("text_hash").alias("_bad_hash")).distinct()
+    keyed = docs.select(whole_rows(docs), F.col(id_col).alias("_id"), F.xxhash64(text_bytes(text)).alias("_hash"))
+    clean = keyed.join(bad, F.col("_id").eqNullSafe(F.col("_bad")) & (F.col("_hash") == F.col("_bad_hash")), "left_anti")
+    return clean.select("_row.*")

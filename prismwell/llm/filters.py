@@ -46,7 +46,7 @@ class HashFilter:
             hit &= ((bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1) > 0
         return hit
 
-    def column(self, col: str) -> Column:
+    def column(self, col: str | Column) -> Column:
         """The same of a column of longs."""
         bits, table = self.bits, self.table
 
@@ -54,7 +54,7 @@ class HashFilter:
         def passes(h: pd.Series) -> pd.Series:
             return pd.Series(HashFilter(bits, table).maybe(h.to_numpy(dtype=np.int64).view(np.uint64)))
 
-        return passes(F.col(col))
+        return passes(F.col(col) if isinstance(col, str) else col)
 
 
 def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:

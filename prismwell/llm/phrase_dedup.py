@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -28,41 +27,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import window_blocks
+from .blocks import digests, folded, window_blocks
 from .common import cut, salted_join, text_bytes
 from .filters import HashFilter
 from .spans import as_long, batches_of, rolling_hashes, word_hashes, words_of
-from .suffix_dedup import EMITTED_ROWS, _two_longs, docs_by_digest, sought_digest
+from .suffix_dedup import docs_by_digest, sought_digest
 
 #: Share of a window that its anchor gram has: 19 words of 50.
 GRAM = 0.39
 MAX_BLOCKS = 4096
 #: Words that a shard's automaton is compiled from and run over at a time.
 SHARD_WORDS = 200_000
-_BLOCK = "t1 long, t2 long, a int, n int, h long, d1 long, d2 long"
+_BLOCK = "t1 long, t2 long, a int, step int, times int, n int, h long, d1 long, d2 long"
 
 
-def text_blocks(texts: list[bytes], window: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(index of the text, first word, windows, anchor's hash, the block's words joined by spaces)."""
+def text_blocks(texts: list[bytes], window: int) -> Iterator[pd.DataFrame]:
+    """The blocks of these texts: ``i`` (the text), a (the first word), step, times, n (windows), h (anchor), d1, d2.
+
+    ``times`` equal blocks start ``step`` words apart.
+    """
     gram = max(1, int(window * GRAM))
-    for first, group in batches_of(texts):
+    for at, group in batches_of(texts):
         buf, begin, end, owner = words_of(group)
         starts, count, _, h = window_blocks(word_hashes(buf, begin, end), owner, window, gram)
-        origin = np.searchsorted(owner, np.arange(len(group)))
-        for s, n, x in zip(starts.tolist(), count.tolist(), as_long(h).tolist(), strict=True):
-            k = owner[s]
-            yield first + k, int(s - origin[k]), n, x, buf[begin[s] : end[s + n + window - 2]]
+        if not len(starts):
+            continue
+        # the same words with one space between any two
+        plain = b" ".join(buf.split())
+        to = np.cumsum(end - begin + 1) - 1
+        since = to - (end - begin)
+        d = digests([plain[s:e] for s, e in zip(since[starts].tolist(), to[starts + count + window - 2].tolist(), strict=True)])
+        doc = owner[starts]
+        origin = np.searchsorted(owner, np.arange(len(group)))[doc]
+        row, step, times = folded(doc, starts, count, d, window)
+        yield pd.DataFrame({"i": at + doc[row], "a": (starts - origin)[row], "step": step, "times": times, "n": count[row], "h": as_long(h)[row], "d1": d[row, 0], "d2": d[row, 1]})
 
 
 def _emit_blocks(window: int):
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["_id", *(c.split()[0] for c in _BLOCK.split(", "))]
         for pdf in batches:
-            texts, ids = pdf["_text"].tolist(), pdf["_id"].tolist()
-            keys = [_two_longs(t) for t in texts]
-            found = ((ids[i], *keys[i], s, n, h, *_two_longs(b" ".join(words.split()))) for i, s, n, h, words in text_blocks(texts, window))
-            while rows := list(islice(found, EMITTED_ROWS)):
-                yield pd.DataFrame(rows, columns=names)
+            texts, ids = pdf["_text"].tolist(), pdf["_id"].to_numpy()
+            keys = digests(texts)
+            for found in text_blocks(texts, window):
+                i = found["i"].to_numpy()
+                yield found.assign(_id=ids[i], t1=keys[i, 0], t2=keys[i, 1])[names]
 
     return blocks
 
@@ -169,8 +178,8 @@ def owned_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wind
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 words = r.block.split()
-                d = [_two_longs(b" ".join(words[k : k + window])) for k in range(r.n)]
-                yield pd.DataFrame({"h": r.h, "d1": r.d1, "d2": r.d2, "s": range(r.n), "owner": r.owner, "w1": [x for x, _ in d], "w2": [y for _, y in d]})
+                d = digests([b" ".join(words[k : k + window]) for k in range(r.n)])
+                yield pd.DataFrame({"h": r.h, "d1": r.d1, "d2": r.d2, "s": range(r.n), "owner": r.owner, "w1": d[:, 0], "w2": d[:, 1]})
 
     run = "h long, d1 long, d2 long, s int, e int, o long"
     few = pieces.where(F.col("kinds") <= max_blocks)
@@ -183,9 +192,11 @@ def owned_runs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wind
         inner = inner.union(found.select("h", "d1", "d2", "s", (F.col("s") + 1).cast("int").alias("e"), "o"))
     parts = inner.groupBy("h", "d1", "d2").agg(F.collect_list(F.struct("s", "e", "o")).alias("parts"))  # of one block
     told = kinds.where("times > 1").select("h", "d1", "d2", "owner").join(parts, ["h", "d1", "d2"], "full")
-    met = salted_join(live.select("t1", "t2", "a", "n", "h", "d1", "d2"), told, ["h", "d1", "d2"], "inner", salts=2)
-    outer = met.where("owner is not null").select("t1", "t2", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"), F.col("owner").alias("o"))
-    inner = met.select("t1", "t2", "a", F.explode("parts").alias("p")).select("t1", "t2", (F.col("a") + F.col("p.s")).alias("s"), (F.col("a") + F.col("p.e")).alias("e"), "p.o")
+    # a folded row stands for its block at each place; what is told of the block's inside holds at each of them
+    spread = live.select("t1", "t2", "a", "step", "times", "n", "h", "d1", "d2").withColumn("_row", F.monotonically_increasing_id())
+    met = salted_join(spread, told, ["h", "d1", "d2"], "inner", salts=4, by=F.col("_row"))
+    outer = met.where("owner is not null").select("t1", "t2", F.col("a").alias("s"), F.expr("a + step * (times - 1) + n").alias("e"), F.col("owner").alias("o"))
+    inner = met.where("parts is not null").select("t1", "t2", "parts", F.explode(F.expr("transform(sequence(0, times - 1), k -> a + step * k)")).alias("a")).select("t1", "t2", "a", F.explode("parts").alias("p")).select("t1", "t2", (F.col("a") + F.col("p.s")).alias("s"), (F.col("a") + F.col("p.e")).alias("e"), "p.o")
     return cut(outer.union(inner).groupBy("t1", "t2").agg(F.collect_set(F.struct("s", "e", "o")).alias("runs")))
 
 

@@ -24,7 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, text_bytes
+from .common import crc_mod, cut, text_bytes, whole_rows
+from .filters import HashFilter
 
 #: Share of the pooled covariance in each class's, then of the diagonal in the result.
 POOLED, DIAGONAL = 0.5, 0.02
@@ -150,7 +151,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the model predicts to be of class 1; texts are not moved."""
-    model = fit_discriminant(training_rows(with_statistics(docs.select(id_col, F.col(text).alias("_text")), "_text"), labels, label, id_col))
-    scored = with_statistics(docs, text, "_x").withColumn("_score", score_column(model, "_x"))
-    return scored.where(F.col("_score") >= THRESHOLD).select(docs.columns)
+    """The rows of ``docs`` that the model predicts to be of class 1; columns may have any names, texts are not moved.
+
+    To fit, only texts are measured that may have a label.
+    """
+    told = labels.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    plain = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    some = plain.where(HashFilter.of(told, labels.count()).column(F.xxhash64(F.col("_id").cast("string"))))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
+    model = fit_discriminant(training_rows(with_statistics(some, "_text"), known, "_label", "_id"))
+    scored = with_statistics(docs.select(whole_rows(docs), F.col(text).alias("_text")), "_text", "_x").withColumn("_score", score_column(model, "_x"))
+    return scored.where(F.col("_score") >= THRESHOLD).select("_row.*")

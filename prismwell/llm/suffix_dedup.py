@@ -23,16 +23,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import window_blocks
-from .common import cut, salted_join, text_bytes
+from .blocks import digests, folded, window_blocks
+from .common import cut, salted_join, text_bytes, whole_rows
 from .filters import HashFilter
 from .spans import BATCH_BYTES, as_long, batches_of
 
@@ -40,19 +38,12 @@ from .spans import BATCH_BYTES, as_long, batches_of
 GRAM = 145 / 400
 #: Different blocks of one anchor that a task sorts together.
 MAX_BLOCKS = 4096
-#: Rows that a task hands on at a time.
-EMITTED_ROWS = 10_000
 #: Bytes of text that are sorted at a time.
 SORTED_BYTES = 1 << 20
 # fixed values: a difference cover modulo 31
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _HEAD = 32
-_BLOCK = "t1 long, t2 long, a int, n int, off int, h long, d1 long, d2 long"
-
-
-def _two_longs(data: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(data)
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+_BLOCK = "t1 long, t2 long, a int, last int, times int, n int, off int, h long, d1 long, d2 long"
 
 
 def _chunks(texts: list[bytes], length: int, limit: int = BATCH_BYTES) -> tuple[list[int], list[int], list[bytes]]:
@@ -66,19 +57,27 @@ def _chunks(texts: list[bytes], length: int, limit: int = BATCH_BYTES) -> tuple[
     return index, base, out
 
 
-def text_blocks(texts: list[bytes], length: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(index of the text, first start, starts, anchor's distance, anchor's hash, block's bytes)."""
+def text_blocks(texts: list[bytes], length: int) -> Iterator[pd.DataFrame]:
+    """The blocks of these texts: ``i`` (the text), a, last, times, n, off (the anchor's distance), h, d1, d2.
+
+    ``times`` equal blocks start from ``a`` to ``last``.
+    """
     index, base, chunks = _chunks(texts, length)
     gram = max(1, int(length * GRAM))
-    for first, group in batches_of(chunks):
+    for at, group in batches_of(chunks):
         buf = b"".join(group)
         sizes = [len(g) for g in group]
         owner = np.repeat(np.arange(len(group), dtype=np.int32), sizes)
         begin = np.cumsum([0, *sizes])
         starts, count, anchors, h = window_blocks(np.frombuffer(buf, np.uint8).astype(np.uint16) + 1, owner, length, gram)
-        for s, n, a, x in zip(starts.tolist(), count.tolist(), anchors.tolist(), as_long(h).tolist(), strict=True):
-            k = owner[s]
-            yield index[first + k], int(s - begin[k]) + base[first + k], n, a - s, x, buf[s : s + n + length - 1]
+        if not len(starts):
+            continue
+        d = digests([buf[s:e] for s, e in zip(starts.tolist(), (starts + count + length - 1).tolist(), strict=True)])
+        chunk = owner[starts]
+        shift = np.asarray(base[at : at + len(group)])[chunk] - begin[chunk]
+        row, step, times = folded(chunk, starts, count, d, length)
+        first = (starts + shift)[row]
+        yield pd.DataFrame({"i": np.asarray(index[at : at + len(group)])[chunk[row]], "a": first, "last": first + step * (times - 1), "times": times, "n": count[row], "off": (anchors - starts)[row], "h": as_long(h)[row], "d1": d[row, 0], "d2": d[row, 1]})
 
 
 def _emit_blocks(length: int):
@@ -86,10 +85,10 @@ def _emit_blocks(length: int):
         names = [c.split()[0] for c in _BLOCK.split(", ")]
         for pdf in batches:
             texts = pdf["_text"].tolist()
-            keys = [_two_longs(t) for t in texts]
-            found = ((*keys[i], s, n, off, h, *_two_longs(block)) for i, s, n, off, h, block in text_blocks(texts, length))
-            while rows := list(islice(found, EMITTED_ROWS)):
-                yield pd.DataFrame(rows, columns=names)
+            keys = digests(texts)
+            for found in text_blocks(texts, length):
+                own = keys[found["i"].to_numpy()]
+                yield found.assign(t1=own[:, 0], t2=own[:, 1])[names]
 
     return blocks
 
@@ -175,16 +174,20 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """(t1, t2, runs): for each text that has any, the runs [s, e) of starts that are repeated.
+    """(t1, t2, runs): for each text that has any, runs [s, e) of starts; their windows cover what is repeated.
 
     ``length`` is 32 or more. A text is known by its 128-bit digest.
     """
     rows = docs.select(text_bytes(text).alias("_text"))
     blocks = cut(rows.where(F.octet_length("_text") >= length).mapInPandas(_emit_blocks(length), _BLOCK))
-    again = cut(blocks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    again = cut(blocks.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"))
     live = blocks.where(HashFilter.of(again, again.count()).column("h"))
-    kinds = cut(live.groupBy("h", "d1", "d2").agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "a", "n", "off")).alias("r")))
-    whole = salted_join(live, kinds.where("times > 1").select("h", "d1", "d2", "times"), ["h", "d1", "d2"], "inner", salts=2).select("t1", "t2", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
+    kinds = cut(live.groupBy("h", "d1", "d2").agg(F.sum("times").alias("times"), F.min(F.struct("t1", "t2", "a", "n", "off")).alias("r")))
+    at = [F.col("a").alias("s"), (F.col("last") + F.col("n")).alias("e")]
+    within = live.where("times > 1").select("t1", "t2", *at)  # repeated by its own text
+    alone = live.where("times = 1").drop("times").withColumn("_row", F.monotonically_increasing_id())
+    elsewhere = salted_join(alone, kinds.where("times > 1").select("h", "d1", "d2"), ["h", "d1", "d2"], "inner", salts=4, by=F.col("_row"))
+    whole = within.union(elsewhere.select("t1", "t2", *at))
 
     # buckets that need sorting: several kinds of block, one of them seen once
     buckets = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("h", "kinds")
@@ -225,8 +228,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, max_b
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                d = [_two_longs(r.block[k : k + length]) for k in range(r.n)]
-                yield pd.DataFrame({"t1": r.t1, "t2": r.t2, "s": [r.a + k for k in range(r.n)], "times": r.times, "w1": [x for x, _ in d], "w2": [y for _, y in d]})
+                d = digests([r.block[k : k + length] for k in range(r.n)])
+                yield pd.DataFrame({"t1": r.t1, "t2": r.t2, "s": [r.a + k for k in range(r.n)], "times": r.times, "w1": d[:, 0], "w2": d[:, 1]})
 
     run = "t1 long, t2 long, s int, e int"
     few = pieces.where(F.col("kinds") <= max_blocks).select("h", "t1", "t2", "times", "a", "n", "off", "block")
@@ -245,7 +248,7 @@ def text_digest(col: str) -> Column:
 
     @F.pandas_udf("t1 long, t2 long")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_two_longs(t) for t in texts], columns=["t1", "t2"], dtype="int64")
+        return pd.DataFrame(digests(texts.tolist()), columns=["t1", "t2"])
 
     return digest(F.col(col))
 
@@ -259,7 +262,7 @@ def sought_digest(col: str, wanted: HashFilter) -> Column:
 
     @F.pandas_udf("t1 long, t2 long, maybe boolean")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([_two_longs(t) for t in texts], columns=["t1", "t2"], dtype="int64")
+        out = pd.DataFrame(digests(texts.tolist()), columns=["t1", "t2"])
         return out.assign(maybe=wanted.maybe(out["t1"].to_numpy().view(np.uint64)))
 
     return digest.asNondeterministic()(F.col(col))
@@ -296,14 +299,18 @@ def without(data: bytes, spans: list[tuple[int, int]], whole_characters: bool =
     return b"".join([*kept, data[at:]])
 
 
-def _with_runs(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` that may have repeated spans, with their runs, and the others."""
+def _with_runs(docs: DataFrame, text: str, length: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``_row``, ``_bytes``, ``_runs`` of the rows of ``docs`` that may have repeated spans, and the first two of the others.
+
+    Columns ``by`` tell copies of one text apart.
+    """
     spans = repeated_spans(docs, text, length)
     wanted = HashFilter.of(spans, spans.count(), "t1")
-    keyed = docs.withColumn("_bytes", text_bytes(text)).withColumn("_d", sought_digest("_bytes", wanted))
-    keyed = keyed.withColumns({"_t1": F.col("_d.t1"), "_t2": F.col("_d.t2"), "_maybe": F.col("_d.maybe")}).drop("_d")
-    spans = spans.select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("runs").alias("_runs"))
-    return keyed.where("_maybe").join(spans, ["_t1", "_t2"], "left"), keyed.where("not _maybe")
+    keyed = docs.select(whole_rows(docs), text_bytes(text).alias("_bytes")).withColumn("_d", sought_digest("_bytes", wanted))
+    some = keyed.where("_d.maybe").select("_row", "_bytes", "_d.t1", "_d.t2")
+    salt = F.struct(*[F.col(f"_row.`{c}`") for c in by]) if by else F.lit(0)
+    joined = salted_join(some, spans.withColumnRenamed("runs", "_runs"), ["t1", "t2"], salts=4, by=salt)
+    return joined.select("_row", "_bytes", "_runs"), keyed.where("not _d.maybe").select("_row", "_bytes")
 
 
 def removed_bytes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = 400) -> DataFrame:
@@ -317,20 +324,21 @@ def removed_bytes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", l
             out.append((sum(e - s for s, e in spans), len(spans), hashlib.sha256(without(t, spans)).hexdigest(), [{"s": s, "e": e} for s, e in spans]))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "spans"])
 
-    some, none = _with_runs(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", length)
-    size = F.octet_length("_bytes").cast("long").alias("n_bytes")
-    some = some.select("_id", size, cut_out("_bytes", "_runs").alias("c")).select("_id", "n_bytes", "c.*")
-    none = none.select("_id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("_bytes", 256).alias("kept_sha256"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-    return some.union(none).withColumnRenamed("_id", id_col)
+    some, none = _with_runs(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text", length, ["_id"])
+    head = [F.col("_row._id").alias(id_col), F.octet_length("_bytes").cast("long").alias("n_bytes")]
+    some = some.select(*head, cut_out("_bytes", "_runs").alias("c")).select(id_col, "n_bytes", "c.*")
+    none = none.select(*head, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("_bytes", 256).alias("kept_sha256"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
+    return some.union(none)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = 400) -> DataFrame:
-    """``docs`` with repeated spans taken out of the texts, in whole characters; all rows stay."""
+    """``docs`` with repeated spans taken out of the texts, in whole characters; all rows and columns stay."""
 
     @F.pandas_udf("string")
     def rest(data: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([without(t, byte_spans(r, length) if r is not None else [], True).decode("utf-8", "replace") for t, r in zip(data, runs, strict=True)], dtype=object)
 
-    some, none = _with_runs(docs, text, length)
-    some = some.withColumn(text, F.when(F.col("_runs").isNull(), F.col(text)).otherwise(rest("_bytes", "_runs")))
-    return some.select(docs.columns).union(none.select(docs.columns))
+    some, none = _with_runs(docs, text, length, [c for c in docs.columns if c != text])
+    left = F.when(F.col("_runs").isNull(), F.col(f"_row.`{text}`")).otherwise(rest("_bytes", "_runs"))
+    some = some.select(F.col("_row").withField(f"`{text}`", left).alias("_row"))
+    return some.union(none.select("_row")).select("_row.*")

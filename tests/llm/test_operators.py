@@ -320,7 +320,10 @@ def test_op8_suffix_dedup(spark, docs, empty, length, most):
     if length == 400:
         assert suffix_dedup.removed_bytes(empty).count() == 0
         rest = suffix_dedup.without_repeats(docs)
-        assert rest.columns == docs.columns and rest.count() == len(rows)
+        assert rest.columns == docs.columns
+        cut = [bytes(b for b, gone in zip(utf8(t), m, strict=True) if not gone).decode("utf-8", "ignore") for (_, t, *_), m in zip(rows, masks, strict=True)]
+        plain = lambda t: None if t is None else t.encode("ascii", "ignore").decode()  # noqa: E731  characters that a span cuts stay
+        assert Counter((r["doc_id"], plain(r["text"])) for r in rest.collect()) == Counter((i, None if t is None else plain(c)) for (i, t, *_), c in zip(rows, cut, strict=True))
 
 
 def test_op8_very_long_texts_are_cut():
@@ -332,8 +335,11 @@ def test_op8_very_long_texts_are_cut():
 
 
 def test_op8_runs_of_one_letter():
-    blocks = list(suffix_dedup.text_blocks([b"a" * 900, b"ab" * 500], 400))
-    flags = suffix_dedup.repeated_starts([b[5] for b in blocks], [b[2] for b in blocks], [b[3] for b in blocks], 400)
+    texts = [b"a" * 900, b"ab" * 500]
+    rows = [r for f in suffix_dedup.text_blocks(texts, 400) for r in f.itertuples()]
+    assert len(rows) < 10 and sum(r.times * r.n for r in rows) == 501 + 601
+    places = [(r, r.a + k * ((r.last - r.a) // max(1, r.times - 1))) for r in rows for k in range(r.times)]
+    flags = suffix_dedup.repeated_starts([texts[r.i][a : a + r.n + 399] for r, a in places], [r.n for r, _ in places], [r.off for r, _ in places], 400)
     assert all(f.all() for f in flags)
 
 
@@ -347,7 +353,7 @@ def test_op9_counts_base_and_lattice(spark, docs, empty):
     got = {}
     for most in (0, 50, 1 << 18):
         old = lattice_lm.head_count.__defaults__
-        lattice_lm.head_count.__defaults__ = (most, *old[1:])
+        lattice_lm.head_count.__defaults__ = (most,)
         try:
             got[most] = lattice_lm.score_texts(docs, BPE).collect()
         finally:
@@ -360,6 +366,59 @@ def test_op9_counts_base_and_lattice(spark, docs, empty):
     assert lattice_lm.score_texts(empty, BPE).count() == 0
 
 
+def test_op9_document_scores_and_rounds_by_enumeration(spark):
+    """Two rounds of expectation maximisation and whole texts, over all segmentations written out."""
+    texts = ["the then at", "At the a", "then then hat", "ate a", None, "that at the"]
+    lat = lattice_lm.lattice(BPE)
+
+    def ways(w: bytes, at: int = 0):
+        for k in range(at + 1, len(w) + 1):
+            for i in by.get((w[at:k], k == len(w)), []):
+                yield from ([i, *rest] for rest in (ways(w, k) if k < len(w) else [[]]))
+
+    by: dict = {}
+    for i, (p, f) in enumerate(zip(lat.pieces, lat.final.tolist(), strict=True)):
+        by.setdefault((p, f), []).append(i)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    words = Counter(w for t in train for w in utf8(t).lower().split())
+    logp = lat.uniform()
+    for _ in range(2):
+        counts = np.full(len(logp), lattice_lm.SMOOTHING)
+        counts[-1] += len(train)
+        for w, c in words.items():
+            paths = list(ways(w))
+            p = np.exp([logp[i].sum() for i in paths])
+            for path, x in zip(paths, p / p.sum(), strict=True):
+                np.add.at(counts, path, c * x)
+        logp = np.log(counts / counts.sum())
+    want = {i: (logp[-1] + sum(np.log(sum(np.exp(logp[p].sum()) for p in ways(w))) for w in utf8(t).lower().split())) / np.log(10) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).collect()}
+    assert got == pytest.approx(want)
+
+
+CLASHING = ("_row", "_bytes", "_d", "_runs", "_maybe", "_t1", "_t2", "_id", "_hash", "_bad", "_x", "_score", "_text", "text_hash", "t1", "t2", "h", "score", "label", "item", "part")
+
+
+def test_columns_of_any_name_come_back(spark):
+    rng = random.Random(2)
+    passage, item = prose(rng, 120), prose(rng, 30)
+    texts = [prose(rng, 60), passage + " " + prose(rng, 20), prose(rng, 20) + " " + passage, prose(rng, 20) + " " + item, None]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    rows = [(i, t, *(f"{c}{i}" for c in CLASHING)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, schema)
+    bench = spark.createDataFrame([("q", item)], "item_id string, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    named = {(r[0], *r[2:]) for r in rows}
+    for out, kept in (
+        (decontaminate.drop_contaminated(df, bench), {0, 1, 2, 4}),
+        (suffix_dedup.without_repeats(df, length=200), {0, 1, 2, 3, 4}),
+        (quality.keep_good(df, labels), None),
+    ):
+        assert out.columns == df.columns
+        got = {(r[0], *r[2:]) for r in out.collect()}
+        assert got <= named and (kept is None or {r[0] for r in got} == kept)
+
+
 def test_op9_forward_is_the_sum_over_all_segmentations():
     lat = lattice_lm.lattice(BPE)
     logp = lat.uniform()
