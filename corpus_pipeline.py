@@ -20,6 +20,8 @@ from prismwell.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A passage that repeats is cut out from so many bytes on: some 35 words. Fifty words have about 310 bytes, few under 220.
+REPEATED_BYTES = 200
 #: Near copies share this part of their shingles of so many words, and are found with at least this chance.
 SIMILARITY, WORDS, RECALL = 0.8, 5, 0.99
 
@@ -35,8 +37,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 400 bytes that also start elsewhere."""
-    rest = suffix_dedup.without_repeats(docs)
+    """All documents, without the passages of ``REPEATED_BYTES`` that also start elsewhere."""
+    rest = suffix_dedup.without_repeats(docs, length=REPEATED_BYTES)
     return rest.withColumn("n_chars", F.length("text").cast("long"))
 
 
