@@ -92,3 +92,36 @@ def implied_constraints(prompt: Column) -> Column:
 def extend_constraints(base: Column, extra: list[str]) -> Column:
     """``base`` and those of ``extra`` that it lacks, in order."""
     return F.concat(base, F.filter(F.array(*map(F.lit, extra)), lambda x: ~F.array_contains(base, x)))
+
+
+# fixed values: what videos are checked for besides, the checks of an edit, and the checks of each tier of the prompt bank
+VIDEO = {"video_prompt_alignment": "prompt_alignment", "video_temporal_coherence": "temporal_coherence", "video_common_sense_motion": "physical_plausibility", "video_artifact_quality": "artifact_quality"}
+EDIT = {
+    "instruction_following": "The edited image visibly follows the requested edit: {}",
+    "source_preservation": "Unmentioned source-image objects, scene layout, camera view, and overall identity remain recognizable.",
+    "edit_locality": "The visual change is localized to the requested target or region instead of rewriting the whole image.",
+    "identity_consistency": "The edited target remains the same object category/shape unless the instruction explicitly asks otherwise.",
+    "background_preservation": "The background, lighting, and non-target composition are preserved unless explicitly requested.",
+    "artifact_quality": "The edited result is coherent, not blank, not overpainted, and has no obvious artifacts, text, logos, or watermarks.",
+}
+TIER_KINDS = {
+    "simple": ("object", "attribute", "composition"), "relation": ("object", "attribute", "relation", "text_ban"),
+    "hard": ("object", "attribute", "count", "left_right", "front_back", "occlusion", "material", "local_parts", "text_ban"),
+}
+
+
+def default_edit(instruction: Column) -> Column:
+    """The six checks of an edit, as an array of structs (constraint_id, type, description)."""
+    text = lambda d: F.concat(F.lit(d[:-2]), instruction) if d.endswith("{}") else F.lit(d)
+    return F.array(*[F.struct(F.lit(f"c_{k}").alias("constraint_id"), F.lit(k).alias("type"), text(d).alias("description")) for k, d in EDIT.items()])
+
+
+def explicit_or(explicit: Column, inferred: Column) -> Column:
+    """The explicit constraints if there are any, else the inferred ones."""
+    return F.when(F.size(F.coalesce(explicit, F.array().cast("array<string>"))) > 0, explicit).otherwise(inferred)
+
+
+def bank(seeds: DataFrame, tier: str, subject: Column) -> DataFrame:
+    """(id, tier, prompt, constraints) of a tier's seed rows."""
+    checks = F.array(*[F.struct(F.lit(f"c_{k}").alias("constraint_id"), F.lit(k).alias("type"), F.concat(F.lit(f"{k.replace('_', ' ')} of "), subject).alias("description")) for k in TIER_KINDS[tier]])
+    return seeds.select("id", F.lit(tier).alias("tier"), F.concat(F.lit("A clean picture of "), subject).alias("prompt"), checks.alias("constraints"))

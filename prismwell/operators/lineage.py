@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,13 @@ def status_histogram(rows: DataFrame, columns: list[str]) -> DataFrame:
     each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns])
     out = rows.select(F.explode(each).alias("x")).where("x.value is not null")
     return out.groupBy(F.col("x.name").alias("name"), F.col("x.value").alias("value")).agg(F.count("*").alias("n")) if n else out.limit(0)
+
+
+def counters(rows: DataFrame, key: str, cases: dict[str, Column]) -> DataFrame:
+    """The total of each key, and how many rows each condition holds for."""
+    return rows.groupBy(key).agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in cases.items()])
+
+
+def rollup(rows: DataFrame, key: str, name: Column, passes: Column) -> DataFrame:
+    """(key, passes, failing): whether all rows of a key pass, and the names of those that do not, in order."""
+    return rows.groupBy(key).agg(F.bool_and(passes).alias("passes"), F.array_sort(F.collect_list(F.when(~passes, name))).alias("failing"))

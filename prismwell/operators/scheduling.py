@@ -22,7 +22,8 @@ def expand_spec(spec: Column, total: Column) -> tuple[Column, Column]:
             body = F.regexp_replace(t, "^[!^]", "")
             first = F.split_part(body, F.lit("-"), F.lit(1)).try_cast("int")
             last = F.coalesce(F.nullif(F.split_part(body, F.lit("-"), F.lit(2)), F.lit("")).try_cast("int"), first)
-            return F.when(body == "all", F.sequence(F.lit(0), total - 1)).otherwise(F.sequence(first, last))
+            reversed_ = F.raise_error(F.concat(F.lit("reversed range: "), body)).cast("array<int>")
+            return F.when(body == "all", F.sequence(F.lit(0), total - 1)).when(last < first, reversed_).otherwise(F.sequence(first, last))
 
         return F.array_sort(F.array_distinct(F.flatten(F.transform(ts, one))))
 
@@ -80,3 +81,43 @@ def failure_class(log: Column) -> Column:
         .when(collective, "nccl_collective_failure")
         .otherwise("unknown")
     )
+
+
+# fixed values: what to do about each class of failure
+ACTIONS = {
+    "hyworld_pano_oom": (
+        "Do not launch more same-resolution HY-Pano seed shards. Retry one shard after lowering height/width or using a lower-memory decode path, "
+        "then fill idle GPUs with Blender, validation, or object insertion shards."
+    ),
+    "cuda_oom": "Release the GPU lease, lower memory pressure, and retry only after a fresh nvidia-smi check.",
+    "blender_missing": "Resolve Blender from production profile or BLENDER_BIN before starting scene gates.",
+    "worldmirror_viewmap_mismatch": "Rebuild scene gate with frame prefixes that match the actual pano_bank image names.",
+    "nccl_collective_failure": "Do not increase nproc blindly. Use one process per GPU, set torchrun env cleanly, and fall back to the smallest stable shard before scaling.",
+    "unknown": "Preserve logs as failure evidence and require manual classification before relaunch.",
+}
+
+
+def recommended_action(failure: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, failure), F.lit(ACTIONS["unknown"]))
+
+
+def available(index: Column, free: Column, utilization: Column, least_free: Column, most_utilization: Column, excluded: Column, allocated: Column) -> Column:
+    """Whether a device can take a job of these needs; ``excluded`` and ``allocated`` are arrays of indices."""
+    return ~F.array_contains(excluded, index) & ~F.array_contains(allocated, index) & (free >= least_free) & (utilization <= most_utilization)
+
+
+def shard_row(spec: Column) -> dict[str, Column]:
+    """Fields of a shard's JSON under either of their names; ``error`` names what is wrong with it."""
+    get = lambda *keys: F.coalesce(*[F.nullif(F.trim(F.get_json_object(spec, f"$.{k}")), F.lit("")) for k in keys])
+    command = F.from_json(F.get_json_object(spec, "$.command"), "array<string>")
+    env = F.get_json_object(spec, "$.env")
+    error = F.when(F.coalesce(F.size(command), F.lit(0)) <= 0, "command").when(env.isNotNull() & ~F.startswith(F.trim(env), F.lit("{")), "env")
+    return {"shard_id": get("id", "shard_id"), "profile": get("profile", "profile_name"), "priority": F.coalesce(get("priority").try_cast("int"), F.lit(100)), "command": command, "error": error}
+
+
+def shell_quoted(words: Column) -> Column:
+    """A command's words as one line that a POSIX shell reads back."""
+    plain = lambda w: w.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$")
+    quoted = lambda w: F.concat(F.lit("'"), F.replace(w, F.lit("'"), F.lit("'\"'\"'")), F.lit("'"))
+    return F.array_join(F.transform(words, lambda w: F.when(plain(w), w).otherwise(quoted(w))), " ")

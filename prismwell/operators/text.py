@@ -86,3 +86,59 @@ def distinct_folded(rows: DataFrame, key: str, value: str, order: list[str]) ->
     folded = F.lower(squash_spaces(F.col(value)))
     kept = rows.withColumn("_k", folded).where(F.length("_k") > 0)
     return kept.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_k").orderBy(*order))).where("_n = 1").drop("_n", "_k")
+
+
+def distinct_in_order(items: Column) -> Column:
+    """The different items that are not empty, in order."""
+    return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
+
+
+def source_links(links: Column) -> Column:
+    """The different addresses of structs with url, link, pdf_url or id, the first of these that is filled."""
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return distinct_in_order(F.transform(links, lambda s: F.coalesce(*[filled(s[k]) for k in ("url", "link", "pdf_url", "id")], F.lit(""))))
+
+
+def guidance(parts: Column, tags: Column, items: int = 8, chars: int = 1800) -> Column:
+    """A block of the first different items, and a line of tags, cut with an ellipsis; '' for nothing."""
+    said = F.slice(distinct_in_order(F.transform(parts, squash_spaces)), 1, items)
+    lines = F.array_join(F.transform(said, lambda x: F.concat(F.lit("- "), x)), "\n")
+    tag_line = F.array_join(F.slice(distinct_in_order(tags), 1, items), ", ")
+    block = F.concat_ws("\n", F.nullif(lines, F.lit("")), F.when(tag_line != "", F.concat(F.lit("Tags: "), tag_line)))
+    return F.when(F.length(block) > chars, F.concat(F.rtrim(F.substring(block, 1, chars - 3)), F.lit("..."))).otherwise(block)
+
+
+def compact_sentence(x: Column, most: int = 500, least: int = 160) -> Column:
+    """A text of at most ``most`` characters: cut after its last full stop from ``least`` on, else with an ellipsis."""
+    flat = squash_spaces(x)
+    head = F.substring(flat, 1, most)
+    stop = most - F.instr(F.reverse(head), ".") + 1
+    return F.when(F.length(flat) <= most, flat).when((F.instr(head, ".") > 0) & (stop >= least), F.substr(head, F.lit(1), stop)).otherwise(F.concat(F.rtrim(head), F.lit("...")))
+
+
+def review_prompt(sample: Column, round_idx: Column, group: Column, view: Column, has_previous: Column, tags: Column) -> Column:
+    """What a reviewer is asked, from a row's fields."""
+    parts = [
+        F.format_string("Review sample %s, round %d, group %s, view %s.", sample, round_idx.cast("int"), group, view),
+        F.when(has_previous, "Compare it with the previous round."), F.when(F.size(tags) > 0, F.concat(F.lit("Use only these tags: "), F.array_join(tags, ", "), F.lit("."))), F.lit("Answer with one JSON object."),
+    ]
+    return F.concat_ws(" ", *parts)
+
+
+def iso_time(x: Column) -> Column:
+    """The time of an ISO text, null for any other."""
+    return F.try_to_timestamp(F.regexp_replace(F.trim(x), "Z$", "+00:00"))
+
+
+def open_questions(templates: DataFrame, answered: DataFrame, asked: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, field, question): for fields without an answer, those not asked before, at most so many of each key.
+
+    ``templates``: field, pos, question (a short table); ``answered``: key, field; ``asked``: key, question.
+    Questions that differ by case and white space alone are the same.
+    """
+    folded = lambda c: F.lower(squash_spaces(F.col(c)))
+    keys = answered.select(key).union(asked.select(key)).distinct()
+    gaps = keys.crossJoin(templates).join(answered, [key, "field"], "left_anti").withColumn("_q", folded("question"))
+    fresh = gaps.join(asked.select(key, folded("question").alias("_q")).distinct(), [key, "_q"], "left_anti")
+    n = F.row_number().over(Window.partitionBy(key).orderBy("pos", "field"))
+    return fresh.withColumn("_n", n).where(F.col("_n") <= max(1, most)).select(key, "field", "question")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,27 +9,8 @@ from ..functions.exprs import derived_seed, listed, paper_id, rounded, slug, wor
 from ..operators import constraints, control, gates, geometry, lifecycle, lineage, pairs, scheduling, scoring, stats, text
 from ..sources import dryrun
 from ..streaming import registry
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the function under its own name, with its SQL if there is any."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from . import geometry_queries, request_queries, review_queries, state_queries  # noqa: F401  they register their queries
+from .register import ORACLE, QUERIES, query, table  # noqa: F401
 
 # --- pairs and splits ---
 

@@ -7,17 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def json_documents(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON documents; a missing path gives no rows, a root that is no object fails or is dropped."""
+def json_documents(spark: SparkSession, path: str, schema: str, strict: bool = True, default: list[tuple] | None = None) -> DataFrame:
+    """One JSON object a file; a missing path gives the ``default`` rows, a root that is no object fails or is dropped."""
     try:
-        df = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
-    bad = F.col("_corrupt").isNotNull()
-    df = df.where(F.assert_true(~bad, "not a JSON object").isNull()) if strict else df.where(~bad)
-    return df.drop("_corrupt")
+        return spark.createDataFrame(default or [], schema)
+    root = F.try_parse_json("value")
+    good = F.coalesce(F.startswith(F.schema_of_variant(root), F.lit("OBJECT")), F.lit(False))
+    text = text.where(F.assert_true(good, "not a JSON object").isNull()) if strict else text.where(good)
+    return text.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -26,15 +27,61 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
-    """(prompt): from JSON with samples or prompts, from JSON lines, or one for each filled line."""
-    if path.endswith(".json"):
-        item = "array<struct<prompt:string>>"
-        df = spark.read.schema(f"samples {item}, prompts {item}, prompt string").option("multiLine", True).json(path)
-        rows = F.coalesce("samples", "prompts", F.array(F.struct("prompt")))
-        return df.select(F.explode(rows).alias("p")).select("p.prompt")
+    """(prompt): from JSON with samples or prompts, from JSON lines, or one for each filled line; plain strings are prompts."""
+    if path.endswith(".txt") or not path.endswith((".json", ".jsonl")):
+        return spark.read.text(path).select(F.trim("value").alias("prompt")).where(F.length("prompt") > 0)
+    items = "array<variant>"
     if path.endswith(".jsonl"):
-        return spark.read.schema("prompt string").json(path)
-    return spark.read.text(path).select(F.trim("value").alias("prompt")).where(F.length("prompt") > 0)
+        rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("v"))
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+        inner = [F.try_variant_get("v", f"$.{k}", items) for k in ("samples", "prompts")]
+        filled = F.coalesce(*[F.when(F.size(x) > 0, x) for x in inner], F.try_variant_get("v", "$", items), F.array("v"))
+        rows = whole.select(F.explode(filled).alias("v"))
+    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    return rows.select(F.when(is_object, F.try_variant_get("v", "$.prompt", "string")).otherwise(F.try_variant_get("v", "$", "string")).alias("prompt"))
+
+
+def action_space(spark: SparkSession, path: str) -> DataFrame:
+    """(grp, action, target, delta_type, delta, lo, hi) of an action space's JSON document."""
+    action = "struct<target:string,delta_type:string,delta:double,bounds:array<double>>"
+    df = json_documents(spark, path, f"groups map<string,struct<actions:map<string,{action}>>>")
+    named = df.select(F.explode("groups").alias("grp", "g")).select("grp", F.explode("g.actions").alias("action", "d"))
+    return named.select("grp", "action", "d.target", "d.delta_type", "d.delta", F.col("d.bounds")[0].alias("lo"), F.col("d.bounds")[1].alias("hi"))
+
+
+def seed_concepts(rows: DataFrame) -> DataFrame:
+    """(id, name, category) of concepts; fails for one without id or name, for an id told twice, and for none at all."""
+    t = rows.select(F.trim("id").alias("id"), F.trim("name").alias("name"), F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("unknown")).alias("category"))
+    bad = t.agg(F.count("*").alias("n"), F.count_if((F.coalesce("id", F.lit("")) == "") | (F.coalesce("name", F.lit("")) == "")).alias("blank"), F.count_distinct("id").alias("ids")).first()  # one row of counts
+    if not bad["n"] or bad["blank"] or bad["ids"] < bad["n"]:
+        raise ValueError(f"seed concepts: {bad['n']} rows, {bad['blank']} without id or name, {bad['ids']} different ids")
+    return t
+
+
+def overlaid(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """``df`` with a default where a column is null or absent."""
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in df.columns else F.lit(v) for k, v in defaults.items()})
+
+
+def depth_values(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, depth): the values of NumPy files, in the order of their names within a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
+
+    def values(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+                d = np.load(io.BytesIO(content), allow_pickle=False).ravel()
+                for at in range(0, len(d), 100_000):
+                    part = d[at : at + 100_000].astype(float)
+                    yield pd.DataFrame({"file": name, "i": np.arange(at, at + len(part)), "depth": part})
+
+    return files.mapInPandas(values, "file string, i long, depth double")
 
 
 def object_documents(spark: SparkSession, root: str, schema: str) -> DataFrame:
