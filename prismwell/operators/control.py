@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,19 +29,16 @@ def in_dead_zone(value: Column, lo: Column, hi: Column, share: float = 0.05) ->
 
 
 def flip_history(steps: DataFrame, key: str, order: list[str], sign: str) -> DataFrame:
-    """(key, last_sign, flips, most_flips, frozen): reversals in a row, by a fold over each key's signs.
+    """(key, last_sign, flips, most_flips, frozen): reversals in a row, by windows over each key's signs.
 
     A reversal adds one, an equal sign starts anew; a target stays frozen once it was.
     """
-    runs = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(sign).cast("int").alias("_s")))), lambda x: x["_s"])
-    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("flips"), F.lit(0).alias("most"))
-
-    def fold(acc: Column, s: Column) -> Column:
-        flips = F.when((acc["last"] != 0) & (s != acc["last"]), acc["flips"] + 1).otherwise(0)
-        return F.struct(s.alias("last"), flips.alias("flips"), F.greatest(acc["most"], flips).alias("most"))
-
-    out = steps.where(F.col(sign) != 0).groupBy(key).agg(F.aggregate(runs, start, fold).alias("h"))
-    return out.select(key, F.col("h.last").alias("last_sign"), F.col("h.flips").alias("flips"), F.col("h.most").alias("most_flips"), (F.col("h.most") >= FREEZE_AFTER).alias("frozen"))
+    w = Window.partitionBy(key).orderBy(*order)
+    s = steps.where(F.col(sign) != 0).select(key, F.struct(*order).alias("_at"), F.col(sign).cast("int").alias("_s"), (F.coalesce(F.lag(sign).over(w) != F.col(sign), F.lit(False))).cast("int").alias("_flip"))
+    runs = s.withColumn("_run", F.sum(1 - F.col("_flip")).over(Window.partitionBy(key).orderBy("_at")))
+    ended = runs.groupBy(key, "_run").agg(F.sum("_flip").alias("_n"), F.max(F.struct("_at", "_s")).alias("_last"))
+    out = ended.groupBy(key).agg(F.max(F.struct("_last", "_n")).alias("_e"), F.max("_n").alias("most"))
+    return out.select(key, F.col("_e._last._s").alias("last_sign"), F.col("_e._n").cast("int").alias("flips"), F.col("most").cast("int").alias("most_flips"), (F.col("most") >= FREEZE_AFTER).alias("frozen"))
 
 
 def choose_action(rows: DataFrame, key: str, candidates: DataFrame, on: list[str], blocked: Column) -> DataFrame:
@@ -49,7 +46,7 @@ def choose_action(rows: DataFrame, key: str, candidates: DataFrame, on: list[str
 
     ``candidates`` (keys, phase, place, action) is a short table.
     """
-    met = rows.join(F.broadcast(candidates), on, "left").withColumn("_ok", F.col("action").isNotNull() & ~F.coalesce(blocked, F.lit(False)))
+    met = rows.join(candidates, on, "left").withColumn("_ok", F.col("action").isNotNull() & ~F.coalesce(blocked, F.lit(False)))
     best = met.groupBy(key).agg(F.min(F.when(F.col("_ok"), F.struct("phase", "place", "action"))).alias("b"))
     return best.select(key, F.coalesce("b.action", F.lit("NO_OP")).alias("action"))
 

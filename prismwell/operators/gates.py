@@ -140,3 +140,8 @@ def prior_findings(present: dict[str, Column], sizes: dict[str, Column]) -> tupl
 def blocks_loop(status: Column) -> Column:
     """Whether an asset of this status keeps its scene waiting."""
     return F.coalesce(status.isin(*BLOCKING), F.lit(False))
+
+
+def page_video_issues(size: Column, url: Column) -> Column:
+    """Issues of a video that is known by its size and address alone."""
+    return listed((size < 4096, "output_too_small"), (~F.contains(url, F.lit("https")), "bad_extension"), (size % 2 == 0, "video_metadata_unavailable"))

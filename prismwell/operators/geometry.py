@@ -1,48 +1,74 @@
-"""Mesh geometry: face components, hulls, planes, projection. A mesh is one bounded group."""
+"""Mesh geometry: face components, hulls, planes, projection. A mesh may be as large as the table."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
+#: Edges that one local contraction holds.
+CONTRACTED = 400_000
+
 
-def label_components(pdf: pd.DataFrame, u: str, v: str) -> dict:
-    """The least node reachable from each node of the edges."""
+def _stars(edges: list[tuple]) -> pd.DataFrame:
+    """Stars that span the components of these (mesh, u, v): each node with the least that it reaches."""
     parent: dict = {}
 
     def root(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(p, p)
         return x
 
-    for a, b in zip(pdf[u].tolist(), pdf[v].tolist(), strict=True):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return {x: root(x) for x in parent}
+    for mesh, a, b in edges:
+        a, b = root((mesh, a)), root((mesh, b))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    out = [(*root(x), x[1]) for x in list(parent)]
+    return pd.DataFrame([(m, r, x) for m, r, x in out if r != x], columns=["mesh", "u", "v"])
 
 
 def component_sizes(edges: DataFrame, mesh: str, u: str, v: str) -> DataFrame:
-    """(mesh, component, size) of each mesh's graph of faces."""
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pd.Series(list(label_components(pdf, u, v).values()), dtype="int64").value_counts()
-        return pd.DataFrame({"mesh": key[0], "component": sizes.index.astype("int64"), "size": sizes.to_numpy("int64")})
+    """(mesh, component, size) of each mesh's graph; a component's name is its least node.
 
+    Each partition first replaces its edges by spanning stars, then rounds hang every node of a star
+    on the least node that it or its centre meets, until none moves. No mesh is gathered anywhere.
+    """
     kind = edges.schema[mesh].dataType.simpleString()
-    return edges.groupBy(mesh).applyInPandas(solve, f"mesh {kind}, component long, size long")
-
-
-def hull_area(xy: np.ndarray) -> float:
-    """The area of the convex hull of points in the plane; 0 for fewer than three different ones."""
+    plain = edges.select(F.col(mesh).alias("mesh"), F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
+
+    def contract(batches):
+        held: list[tuple] = []
+        for pdf in batches:
+            held += zip(pdf["mesh"].tolist(), pdf["u"].tolist(), pdf["v"].tolist(), strict=True)
+            if len(held) > CONTRACTED:
+                yield _stars(held)
+                held = []
+        yield _stars(held)
+
+    nodes = kept(plain.select("mesh", "u").union(plain.select("mesh", "v")).distinct().withColumnRenamed("u", "node"))
+    e = kept(plain.where("u <> v").mapInPandas(contract, f"mesh {kind}, u long, v long").distinct())
+    while True:
+        both = e.union(e.select("mesh", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("mesh", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # neighbours above a node hang on the least it meets, and so does the node itself
+        hung = both.join(least, ["mesh", "u"]).where("v > m").select("mesh", F.col("m").alias("u"), "v").union(least.where("m < u").select("mesh", F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
+        now = kept(hung)
+        if now.exceptAll(e).isEmpty():
+            break
+        e = now
+    # a star's centre is no leaf of another: each leaf has one centre by now
+    named = nodes.join(e.groupBy("mesh", F.col("v").alias("node")).agg(F.min("u").alias("component")), ["mesh", "node"], "left")
+    return named.groupBy("mesh", F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("size"))
+
+
+def hull_points(xy: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points in the plane, in order; all of them if fewer than three differ."""
     pts = np.unique(xy, axis=0)
     if len(pts) < 3:
-        return 0.0
+        return pts
 
     def half(points: np.ndarray) -> list:
         out: list = []
@@ -52,42 +78,54 @@ def hull_area(xy: np.ndarray) -> float:
             out.append(p)
         return out[:-1]
 
-    ring = np.array([*half(pts), *half(pts[::-1])])
+    return np.array([*half(pts), *half(pts[::-1])])
+
+
+def hull_area(xy: np.ndarray) -> float:
+    """The area of the convex hull; 0 for fewer than three different points."""
+    ring = hull_points(xy)
+    if len(ring) < 3:
+        return 0.0
     x, y = ring[:, 0], ring[:, 1]
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
 
 
 def hull_areas(points: DataFrame, mesh: str, x: str, y: str) -> DataFrame:
+    """(mesh, area): each batch keeps its hulls' corners only, whose hull is that of all points; corners are few whatever the points."""
     kind = points.schema[mesh].dataType.simpleString()
-    return points.groupBy(mesh).applyInPandas(lambda key, pdf: pd.DataFrame({"mesh": [key[0]], "area": [hull_area(pdf[[x, y]].to_numpy(float))]}), f"mesh {kind}, area double")
-
-
-def fit_plane(points: np.ndarray, tolerance: float, tries: int, seed: int) -> tuple[np.ndarray, int]:
-    """(normal and offset, inliers) of the plane with most points near it, by seeded random triples."""
-    rng, best = np.random.default_rng(seed), (np.zeros(4), 0)
-    for _ in range(tries if len(points) >= 3 else 0):
-        a, b, c = points[rng.choice(len(points), 3, replace=False)]
-        normal = np.cross(b - a, c - a)
-        size = np.linalg.norm(normal)
-        if size < 1e-12:
-            continue
-        normal = normal / size
-        near = int((np.abs((points - a) @ normal) <= tolerance).sum())
-        if near > best[1]:
-            best = (np.append(normal, -normal @ a), near)
-    return best
 
-
-def planes(points: DataFrame, mesh: str, axes: list[str], tolerance: float, tries: int = 100) -> DataFrame:
-    """(mesh, a, b, c, d, inliers); each mesh draws from its own seed, so results repeat."""
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(axes)
-        plane, near = fit_plane(pdf[axes].to_numpy(float), tolerance, tries, zlib.crc32(str(key[0]).encode()))
-        return pd.DataFrame([[key[0], *plane, near]], columns=["mesh", "a", "b", "c", "d", "inliers"])
-
-    kind = points.schema[mesh].dataType.simpleString()
-    return points.groupBy(mesh).applyInPandas(solve, f"mesh {kind}, a double, b double, c double, d double, inliers long")
+    def corners(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby("mesh", sort=False, dropna=False):
+                ring = hull_points(part[["x", "y"]].to_numpy(float))
+                yield pd.DataFrame({"mesh": [key] * len(ring), "x": ring[:, 0], "y": ring[:, 1]}, columns=["mesh", "x", "y"])
+
+    plain = points.select(F.col(mesh).alias("mesh"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    few = plain.mapInPandas(corners, f"mesh {kind}, x double, y double")
+    return few.groupBy("mesh").applyInPandas(lambda key, pdf: pd.DataFrame({"mesh": [key[0]], "area": [hull_area(pdf[["x", "y"]].to_numpy(float))]}), f"mesh {kind}, area double")
+
+
+def planes(points: DataFrame, mesh: str, row: str, axes: list[str], tolerance: float, tries: int = 100) -> DataFrame:
+    """(mesh, a, b, c, d, inliers): of the planes through ``tries`` triples the one with most points near it, of equals the first.
+
+    The triples of a mesh are its points in the order of a hash of their ids, three by three, so results
+    repeat. Points are counted by a join with the mesh's planes and an aggregate.
+    """
+    x = [f"_{i}" for i in range(3)]
+    plain = points.select(F.col(mesh).alias("mesh"), F.col(row).alias("row"), *[F.col(a).cast("double").alias(n) for a, n in zip(axes, x, strict=True)])
+    order = F.row_number().over(Window.partitionBy("mesh").orderBy(F.sha2(F.col("row").cast("string"), 256), "row"))
+    drawn = plain.withColumn("n", order).where(F.col("n") <= 3 * tries).withColumns({"k": F.floor((F.col("n") - 1) / 3).cast("int"), "j": (F.col("n") - 1) % 3})
+    of = lambda j, n: F.max(F.when(F.col("j") == j, F.col(n)))
+    triples = drawn.groupBy("mesh", "k").agg(F.count("*").alias("c"), *[of(j, n).alias(f"p{j}{n}") for j in range(3) for n in x]).where("c = 3")
+    u, v = ([F.col(f"p{j}{n}") - F.col(f"p0{n}") for n in x] for j in (1, 2))
+    normal = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    triples = triples.select("mesh", "k", *[c.alias(n) for c, n in zip(normal, "abc", strict=True)], *[f"p0{n}" for n in x])
+    size = F.sqrt(F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c"))
+    triples = triples.where(size >= 1e-12).select("mesh", "k", *[(F.col(n) / size).alias(n) for n in "abc"], *[f"p0{n}" for n in x])
+    told = triples.withColumn("d", -(F.col("a") * F.col("p0_0") + F.col("b") * F.col("p0_1") + F.col("c") * F.col("p0_2"))).select("mesh", "k", "a", "b", "c", "d")
+    near = F.abs(F.col("a") * F.col("_0") + F.col("b") * F.col("_1") + F.col("c") * F.col("_2") + F.col("d")) <= tolerance
+    counted = plain.join(told, "mesh").groupBy("mesh", "k", "a", "b", "c", "d").agg(F.count_if(near).alias("inliers"))
+    return counted.groupBy("mesh").agg(F.max(F.struct("inliers", (-F.col("k")).alias("k"), "a", "b", "c", "d")).alias("b")).select("mesh", "b.a", "b.b", "b.c", "b.d", "b.inliers")
 
 
 def camera_place(target: tuple[Column, Column, Column], distance: Column, azimuth: Column, elevation: Column) -> tuple[Column, Column, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,11 @@ def counters(rows: DataFrame, key: str, cases: dict[str, Column]) -> DataFrame:
 def rollup(rows: DataFrame, key: str, name: Column, passes: Column) -> DataFrame:
     """(key, passes, failing): whether all rows of a key pass, and the names of those that do not, in order."""
     return rows.groupBy(key).agg(F.bool_and(passes).alias("passes"), F.array_sort(F.collect_list(F.when(~passes, name))).alias("failing"))
+
+
+def evidence(rows: DataFrame, key: str, cite: str, tag: str, most: int = 8) -> DataFrame:
+    """(key, langs, summaries): the different tags of each key, and its first citations in brackets."""
+    tags = rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(tag)), ",").alias("langs"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(cite))).where(F.col("_n") <= most)
+    cited = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cite)), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), " ").alias("summaries"))
+    return tags.join(cited, key)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import signed_turn
@@ -62,7 +62,13 @@ def limit_with_reasons(rows: DataFrame, eligible, order: str, n: int) -> DataFra
 
 def expected_grid(objects: DataFrame, views: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     """Per object: how many of the expected views exist, and whether all do. ``views`` is a short list."""
-    grid = objects.crossJoin(F.broadcast(views))
+    grid = objects.crossJoin(views)
     met = grid.join(found.select(*keys).distinct().withColumn("exists", F.lit(True)), keys, "left")
     own = objects.columns
     return met.groupBy(*own).agg(F.count("*").alias("expected"), F.count("exists").alias("present"), F.bool_and(F.coalesce("exists", F.lit(False))).alias("complete"))
+
+
+def keyframes(last: Column, most: int) -> Column:
+    """The different frames, of 0 to ``last``, at even distances, half to even."""
+    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.bround(i * last / float(most - 1), 0).cast("long"))
+    return F.array_sort(F.array_distinct(picks))

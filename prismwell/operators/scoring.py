@@ -53,3 +53,8 @@ def top_values(rows: DataFrame, key: str, value: str, order: list[str], k: int,
 def worst(rank: Column, names: list[str]) -> Column:
     """The name of the greatest rank in a group; ranks count from zero."""
     return F.element_at(F.array(*map(F.lit, names)), F.max(rank).cast("int") + 1)
+
+
+def highest_and_first(rows: DataFrame, key: str, rank: str, value: str, order: list[str]) -> DataFrame:
+    """(key, highest, first_status): the highest rank of each key, and the value of its first row."""
+    return rows.groupBy(key).agg(F.max(rank).alias("highest"), F.min_by(value, F.struct(*order)).alias("first_status"))

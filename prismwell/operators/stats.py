@@ -8,15 +8,43 @@ from pyspark.sql import functions as F
 from ..functions.exprs import rounded
 
 
+#: Bins by which quantiles are narrowed down.
+QUANTILE_BINS = 4096
+
+
+def quantiles(rows: DataFrame, key: str, values: list[str], shares: list[float]) -> DataFrame:
+    """(key, name, share, q): exact quantiles, between two values in proportion; a key may hold any number of rows.
+
+    Bins of equal width between a key's ends are counted, and only the rows of those bins are ordered
+    in which a wanted rank falls; equal values there count as one row.
+    """
+    long = rows.select(F.col(key).alias("key"), F.inline(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    by = ["key", "name"]
+    ends = long.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    share = F.explode(F.array(*map(F.lit, shares)))
+    at = F.col("share") * (F.col("n") - 1)
+    wanted = ends.withColumn("share", share).withColumns({"low": F.floor(at), "high": F.ceil(at), "part": at - F.floor(at)})
+    binned = long.join(ends.select(*by, "lo", "hi"), by).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(QUANTILE_BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BINS))).otherwise(0).cast("int"))
+    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*by).orderBy("bin")) - F.col("c"))
+    ranks = wanted.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct()
+    held = counts.join(ranks, by).where("rank >= before and rank < before + c").select(*by, "bin", "before").distinct()
+    few = binned.join(held, [*by, "bin"]).groupBy(*by, "bin", "before", "v").agg(F.count("*").alias("c"))
+    top = F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("v")) + F.col("before")
+    steps = few.withColumn("top", top).select(*by, "v", (F.col("top") - F.col("c")).alias("first"), "top")
+    value = ranks.join(steps, by).where("rank >= first and rank < top").select(*by, "rank", "v")
+    ends_of = wanted.join(value.select(*by, F.col("rank").alias("low"), F.col("v").alias("a")), [*by, "low"]).join(value.select(*by, F.col("rank").alias("high"), F.col("v").alias("b")), [*by, "high"])
+    return ends_of.select(F.col("key").alias(key), "name", "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q"))
+
+
 def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Exact percentiles and moments of finite values, with the coefficient of variation."""
     v = F.col(value)
-    q = lambda p: rounded(F.percentile(v, p))
-    out = rows.where(v.isNotNull() & ~F.isnan(v)).groupBy(key).agg(
-        F.count("*").alias("n"), F.min(v).alias("lo"), q(F.lit(0.05)).alias("p05"), q(F.lit(0.5)).alias("p50"), q(F.lit(0.95)).alias("p95"),
-        F.max(v).alias("hi"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_pop(v)).alias("sigma"), rounded(F.stddev_pop(v) / F.avg(v)).alias("variation"),
-    )
-    return out
+    sound = rows.where(v.isNotNull() & ~F.isnan(v))
+    moments = sound.groupBy(key).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), rounded(F.avg(v)).alias("mean"), rounded(F.stddev_pop(v)).alias("sigma"), rounded(F.stddev_pop(v) / F.avg(v)).alias("variation"))
+    at = lambda p: rounded(F.max(F.when(F.col("share") == p, F.col("q"))))
+    marks = quantiles(sound, key, [value], [0.05, 0.5, 0.95]).groupBy(key).agg(at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return moments.join(marks, key).select(key, "n", "lo", "p05", "p50", "p95", "hi", "mean", "sigma", "variation")
 
 
 def rolling_band(rows: DataFrame, key: str, order: list[str], value: str, size: int = 500, lo: float = 0.1, hi: float = 0.9, least: int = 10, default: tuple[float, float] = (40.0, 180.0)) -> DataFrame:
@@ -47,10 +75,8 @@ def widest_gap(rows: DataFrame, key: str, value: str, bins: int = 50) -> DataFra
 
 def percentile_box(rows: DataFrame, key: str, axes: list[str], lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Per axis the percentiles, for each key."""
-    aggs = []
-    for a in axes:
-        aggs += [rounded(F.percentile(a, F.lit(lo))).alias(f"{a}_lo"), rounded(F.percentile(a, F.lit(hi))).alias(f"{a}_hi")]
-    return rows.groupBy(key).agg(*aggs)
+    at = lambda a, p: rounded(F.max(F.when((F.col("name") == a) & (F.col("share") == p), F.col("q"))))
+    return quantiles(rows, key, axes, [lo, hi]).groupBy(key).agg(*[at(a, p).alias(f"{a}_{n}") for a in axes for n, p in (("lo", lo), ("hi", hi))])
 
 
 def foreground(rows: DataFrame, key: str, channels: list[str], border: Column, distance: float) -> DataFrame:

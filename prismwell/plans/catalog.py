@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import derived_seed, listed, paper_id, rounded, slug, word_head
+from ..functions.exprs import derived_seed, paper_id, rounded, slug, word_head
 from ..operators import constraints, control, gates, geometry, lifecycle, lineage, pairs, scheduling, scoring, stats, text
 from ..sources import dryrun
 from ..streaming import registry
@@ -232,7 +232,7 @@ def topk_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, max(o_orderpriority) AS highest, min_by(o_orderstatus, struct_pack(d := o_orderdate, k := o_orderkey)) AS first_status FROM orders GROUP BY 1")
 def max_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderpriority").alias("highest"), F.min_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("first_status"))
+    return scoring.highest_and_first(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "o_orderstatus", ["o_orderdate", "o_orderkey"])
 
 
 # --- lifecycle and control ---
@@ -353,8 +353,7 @@ def image_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH i AS (SELECT page_id, concat_ws(',', CASE WHEN strlen(html) < 4096 THEN 'output_too_small' END, CASE WHEN NOT contains(url, 'https') THEN 'bad_extension' END, CASE WHEN strlen(html) % 2 = 0 THEN 'video_metadata_unavailable' END) AS issues FROM pages)
           SELECT page_id, issues, CASE WHEN issues IN ('', 'video_metadata_unavailable') THEN 'pass' ELSE 'fail' END AS status FROM i""")
 def video_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.octet_length("html")
-    issues = listed((size < 4096, "output_too_small"), (~F.contains("url", F.lit("https")), "bad_extension"), (size % 2 == 0, "video_metadata_unavailable"))
+    issues = gates.page_video_issues(F.octet_length("html"), F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", issues.alias("i")).select("page_id", F.array_join("i", ",").alias("issues"), gates.video_status(F.col("i")).alias("status"))
 
 
@@ -444,16 +443,16 @@ def _faces(li: DataFrame) -> DataFrame:
     return li.select(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("mesh"), F.col("l_suppkey").alias("u"), (F.col("l_suppkey") + F.col("l_partkey") % 3).alias("v")).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag || l_linestatus || l_linenumber AS mesh, l_suppkey AS u, l_suppkey + l_partkey % 3 AS v FROM lineitem WHERE l_quantity >= 49),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag || l_linestatus || l_linenumber AS mesh, l_suppkey AS u, l_suppkey + l_partkey % 3 AS v FROM lineitem),
           b AS (SELECT mesh, u, v FROM e UNION SELECT mesh, v, u FROM e), r(mesh, node, least) AS (SELECT mesh, u, u FROM b UNION SELECT b.mesh, b.v, r.least FROM r JOIN b ON b.mesh = r.mesh AND b.u = r.node AND r.least < b.v),
           c AS (SELECT mesh, node, min(least) AS component FROM r GROUP BY 1, 2) SELECT mesh, component, count(*) AS size FROM c GROUP BY 1, 2""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.component_sizes(_faces(table(spark, sf_dir, "lineitem").where("l_quantity >= 49")), "mesh", "u", "v")
+    return geometry.component_sizes(_faces(table(spark, sf_dir, "lineitem")), "mesh", "u", "v")
 
 
 @query()
 def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components of all edges; ``components`` has those of the rows that its SQL selects."""
+    """The same without SQL, which is slow on large tables; the tests compare it with brute force."""
     return geometry.component_sizes(_faces(table(spark, sf_dir, "lineitem")), "mesh", "u", "v")
 
 
@@ -463,10 +462,17 @@ def hull_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.hull_areas(e, "label", "x", "y").select("mesh", rounded(F.col("area")).alias("area"))
 
 
-@query()
+_OF = ", ".join(f"max(e{i}) FILTER (j = {j}) AS p{j}{i}" for j in range(3) for i in range(3))
+
+
+@query(f"""WITH e AS (SELECT label AS mesh, vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[2] AS DOUBLE) AS e1, CAST(embedding[3] AS DOUBLE) AS e2, row_number() OVER (PARTITION BY label ORDER BY sha256(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS n FROM embeddings),
+           t AS (SELECT mesh, n // 3 AS k, {_OF} FROM (SELECT *, n % 3 AS j FROM e WHERE n < 300) GROUP BY 1, 2 HAVING count(*) = 3),
+           x AS (SELECT mesh, k, p00, p01, p02, p10 - p00 AS u0, p11 - p01 AS u1, p12 - p02 AS u2, p20 - p00 AS v0, p21 - p01 AS v1, p22 - p02 AS v2 FROM t), c AS (SELECT mesh, k, p00, p01, p02, u1 * v2 - u2 * v1 AS a, u2 * v0 - u0 * v2 AS b, u0 * v1 - u1 * v0 AS c FROM x),
+           s AS (SELECT *, sqrt(a * a + b * b + c * c) AS z FROM c), m AS (SELECT mesh, k, a / z AS a, b / z AS b, c / z AS c, -(a / z * p00 + b / z * p01 + c / z * p02) AS d FROM s WHERE z >= 1e-12),
+           i AS (SELECT mesh, k, count(*) FILTER (abs(a * e0 + b * e1 + c * e2 + d) <= 0.05) AS n FROM e JOIN m USING (mesh) GROUP BY 1, 2) SELECT mesh, max(n) AS inliers FROM i GROUP BY 1""")
 def plane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)])
-    return geometry.planes(e, "label", ["e0", "e1", "e2"], 0.05).select("mesh", "inliers")
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(3)])
+    return geometry.planes(e, "label", "vec_id", ["e0", "e1", "e2"], 0.05).select("mesh", "inliers")
 
 
 # --- scheduling ---
@@ -565,19 +571,13 @@ def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(range(5), lambda i: CAST(round_even(i * (n_chars % 97) / 4.0, 0) AS BIGINT)))), ',') AS frames FROM documents""")
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars") % 97
-    picks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.bround(i * n / 4.0, 0).cast("long"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(picks)), ",").alias("frames"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(pairs.keyframes(F.col("n_chars") % 97, 5), ",").alias("frames"))
 
 
 @query("""WITH d AS (SELECT source, doc_id, lang FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d)
           SELECT source, array_to_string(list_sort(list_distinct(list(lang))), ',') AS langs, string_agg('[' || doc_id || ']', ' ' ORDER BY doc_id) FILTER (n <= 8) AS summaries FROM r GROUP BY 1""")
 def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
-    tags = d.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
-    first = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 8")
-    cited = first.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("]"))), " ").alias("summaries"))
-    return tags.join(cited, "source")
+    return lineage.evidence(table(spark, sf_dir, "documents").select("source", "doc_id", "lang"), "source", "doc_id", "lang")
 
 
 @query("""WITH b AS (SELECT doc_id, n_chars, source FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT doc_id, n_chars + (doc_id % 5 = 0)::INT AS n_chars, source FROM documents WHERE doc_id % 11 <> 0)

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 #: Rows and bytes of an Arrow batch: a Python worker holds some batches at a time, whatever the texts' length.
@@ -27,6 +27,17 @@ def build_session(master: str = "local[*]", app: str = "prismwell", **conf: str)
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and keep its rows in the folder that ``spark.checkpoint.dir`` names; a local session gets a temporary one where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismwell-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Set ARROW_LIMITS where the session has larger ones."""
     for key, limit in ARROW_LIMITS.items():
