@@ -183,7 +183,9 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
     apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.f")[i].bitwiseXOR(F.col(f"{y}.f")[i])) for i in range(1, wide)), F.bit_count(F.col(f"{x}.f")[0].bitwiseXOR(F.col(f"{y}.f")[0])))
     close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
-    full = salted_join(split.where(large), classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), ["rep"], "inner", salts=2)
+    # a text's fingerprints are fetched once, whatever number of large buckets (at most one a segment) it is in
+    places = split.where(large).groupBy("rep").agg(F.collect_list(F.struct("key", "part", "main")).alias("at"))
+    full = places.join(classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), "rep").select("rep", "fps", F.inline("at"))
 
     def pairs_of(rows: DataFrame, fp: str, close) -> DataFrame:
         left = rows.where("not main").select("key", F.col("rep").alias("r"), F.col(fp).alias("f"), F.col("part").alias("p"))
