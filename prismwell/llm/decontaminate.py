@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, cut, salted_join, text_bytes, whole_rows
 from .filters import HashFilter
-from .spans import as_long, batches_of, mixed, word_hashes, words_of
+from .spans import as_long, batches_of, give_back, mixed, word_hashes, words_of
 
 # fixed values: the seeds, each of weight 5; the first three fit a change of each fifth, fourth and third word
 MASKS = ("111101", "111011", "1101101", "11001011", "1010011001")
@@ -123,6 +123,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col:
                     lo, hi = max(edge[d], a[0] - margin), min(edge[d + 1], a[-1] + margin + 1)
                     rows.append((ids[first + d], text_hash[first + d], int(lo - edge[d]), as_long(words[lo:hi].copy()), (a - lo).astype(np.int32), as_long(x)))
                 yield pd.DataFrame(rows, columns=["_id", "text_hash", "lo", "words", "pos", "h"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), text_bytes(text).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     near = cut(rows.mapInPandas(scan, "_id string, text_hash long, lo int, words array<long>, pos array<int>, h array<long>").withColumn("part", F.xxhash64("_id", "text_hash", "lo")))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, connected_components, cut, salted_join, text_bytes
-from .spans import as_long, batches_of, mixed, range_hashes, prefix_sums, rolling_hashes, word_hashes, words_of
+from .spans import as_long, batches_of, give_back, mixed, range_hashes, prefix_sums, rolling_hashes, word_hashes, words_of
 
 #: Shingles whose bits are counted at a time.
 BLOCK = 4096
@@ -120,6 +120,7 @@ def with_signatures(docs: DataFrame, functions: int, words: int) -> DataFrame:
             d = terms.sum(1, dtype=np.uint64)
             less = [{"d1": int(x), "d2": int(y)} for x, y in as_long(d[:, None] - terms).T] if len(s) == 5 else []
             rows.append((len(s), *as_long(d).tolist(), signature(s, functions), less))
+        give_back()
         return pd.DataFrame(rows, columns=["n", "d1", "d2", "fps", "less"])
 
     return docs.withColumn("_s", signed("_text")).select("_id", "_s.*")

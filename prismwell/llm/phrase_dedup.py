@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .blocks import digests, folded, window_blocks
 from .common import cut, salted_join, text_bytes
 from .filters import HashFilter
-from .spans import as_long, batches_of, rolling_hashes, word_hashes, words_of
+from .spans import as_long, batches_of, give_back, rolling_hashes, word_hashes, words_of
 from .suffix_dedup import docs_by_digest, sought_digest
 
 #: Share of a window that its anchor gram has: 19 words of 50.
@@ -72,6 +72,7 @@ def _emit_blocks(window: int):
             for found in text_blocks(texts, window):
                 i = found["i"].to_numpy()
                 yield found.assign(_id=ids[i], t1=keys[i, 0], t2=keys[i, 1])[names]
+        give_back()
 
     return blocks
 

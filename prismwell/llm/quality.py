@@ -156,9 +156,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", text:
     To fit, only texts are measured that may have a label.
     """
     told = labels.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    some = plain.where(HashFilter.of(told, labels.count()).column(F.xxhash64(F.col("_id").cast("string"))))
+    wanted = HashFilter.of(told, labels.count())
+
+    @F.pandas_udf("array<double>")
+    def measured(h: pd.Series, texts: pd.Series) -> pd.Series:  # one function filters and measures, so that no second worker is chained
+        maybe = wanted.maybe(h.to_numpy(dtype=np.int64).view(np.uint64))
+        return pd.Series([statistics(t) if m else None for t, m in zip(texts, maybe, strict=True)], dtype=object)
+
+    some = docs.select(F.col(id_col).alias("_id"), measured.asNondeterministic()(F.xxhash64(F.col(id_col).cast("string")), text_bytes(text)).alias("x")).where("x is not null")
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_label"))
-    model = fit_discriminant(training_rows(with_statistics(some, "_text"), known, "_label", "_id"))
+    model = fit_discriminant(training_rows(some, known, "_label", "_id"))
     scored = with_statistics(docs.select(whole_rows(docs), F.col(text).alias("_text")), "_text", "_x").withColumn("_score", score_column(model, "_x"))
     return scored.where(F.col("_score") >= THRESHOLD).select("_row.*")

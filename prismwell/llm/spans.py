@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text hashed at a time; arrays take some 60 bytes for each.
 BATCH_BYTES = 1 << 20
@@ -16,6 +18,14 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system, for the end of a task: a Python worker lives on, and several wait at a time."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS["up"]) < n + 1:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .blocks import digests, folded, window_blocks
 from .common import cut, salted_join, text_bytes, whole_rows
 from .filters import HashFilter
-from .spans import BATCH_BYTES, as_long, batches_of
+from .spans import BATCH_BYTES, as_long, batches_of, give_back
 
 #: Share of a window that its anchor gram has: 145 bytes of 400.
 GRAM = 145 / 400
@@ -89,6 +89,7 @@ def _emit_blocks(length: int):
             for found in text_blocks(texts, length):
                 own = keys[found["i"].to_numpy()]
                 yield found.assign(t1=own[:, 0], t2=own[:, 1])[names]
+        give_back()
 
     return blocks
 
@@ -219,6 +220,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = 400, max_b
                 size = int(held[0]["block"].map(len).sum())
         if held and len(both := pd.concat(held, ignore_index=True)):
             yield sort(both)
+        give_back()
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         flags = repeated_starts(pdf["block"].tolist(), pdf["n"].tolist(), pdf["off"].tolist(), length)

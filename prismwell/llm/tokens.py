@@ -17,8 +17,10 @@ from pathlib import Path
 
 import numpy as np
 
+from .spans import give_back
+
 #: Chunks and letter runs remembered; beyond it only the first ``KEPT`` of each stay, as frequent ones are met early.
-MAX_CHUNKS, MAX_WORDS, KEPT = 350_000, 200_000, 100_000
+MAX_CHUNKS, MAX_WORDS, KEPT = 250_000, 150_000, 60_000
 #: Letter runs sent to the library in one text.
 JOINED = 2000
 _STOPS = b".,;:!?"
@@ -114,6 +116,7 @@ class TextEncoder:
     def trim(self) -> None:
         """Give most of the memory back: for the end of a task, as workers live on and Spark keeps several of them."""
         self.chunks, self.words = dict(islice(self.chunks.items(), KEPT)), dict(islice(self.words.items(), KEPT))
+        give_back()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
