@@ -7,9 +7,9 @@ that share one are kept if an independent fingerprint is near, and then verified
 
 In a bucket each member is first compared with a leader only; segments take turns at some orders of
 the documents, so a group has several leaders. Where that leaves several components, all pairs of
-different components follow, so no link between components is lost. In large buckets all fingerprints
-are compared for that, not one: two thousand bits tell a similarity of 0.8 from one of 0.7, so texts
-edited beyond the threshold are not verified against all others.
+different components follow, so no link between components is lost. For leaders and in large buckets
+all fingerprints are compared, not one: two thousand bits tell a similarity of 0.8 from one of 0.7,
+so texts edited beyond the threshold are not verified against all others.
 
 Edge cases: null and blank texts have the empty set and are copies of one another; a text of fewer
 words than a shingle is one shingle; rows with a null id stay; repeated rows keep one.
@@ -169,9 +169,17 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     met = banded.select("*", F.count("*").over(bucket).alias("k"), F.min(F.struct(order, "rep", "fp")).over(bucket).alias("lead")).where("k > 1")
     met = cut(met.select("rep", "fp", "key", "k", F.struct("lead.rep", "lead.fp").alias("lead")))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
+    wide = min(functions, WIDE)
+    loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
+    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.f")[i].bitwiseXOR(F.col(f"{y}.f")[i])) for i in range(1, wide)), F.bit_count(F.col(f"{x}.f")[0].bitwiseXOR(F.col(f"{y}.f")[0])))
+    close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
     stars = cut(met.where(near("fp", "lead.fp") & (F.col("rep") != F.col("lead.rep"))).select(F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b")).distinct())
     small = classes.where("n = 5").select(F.col("rep").alias("a"), F.inline("less")).join(classes.where("n = 4").select(F.col("rep").alias("b"), *digest), digest).select("a", "b")
-    edges = verified(stars, reps, least, words).union(small)
+    # a few hundred bytes a text rule most of them out before any shingle set is fetched
+    prints = classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps"))
+    likely = stars.join(prints.select(F.col("rep").alias("a"), F.col("fps").alias("pa")), "a").join(prints.select(F.col("rep").alias("b"), F.col("fps").alias("pb")), "b")
+    likely = cut(likely.where(close("pa", "pb")).select("a", "b"))
+    edges = verified(likely, reps, least, words).union(small)
     parts = cut(connected_components(edges).withColumnRenamed("node", "rep"))
 
     more = met.where("k > 2").select("rep", "fp", "key", "k")
@@ -180,13 +188,9 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     most = F.max(F.struct("size", "part")).over(bucket)
     split = cut(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
     large = F.col("k") > LARGE
-    wide = min(functions, WIDE)
-    loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
-    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.f")[i].bitwiseXOR(F.col(f"{y}.f")[i])) for i in range(1, wide)), F.bit_count(F.col(f"{x}.f")[0].bitwiseXOR(F.col(f"{y}.f")[0])))
-    close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
     # a text's fingerprints are fetched once, whatever number of large buckets (at most one a segment) it is in
     places = split.where(large).groupBy("rep").agg(F.collect_list(F.struct("key", "part", "main")).alias("at"))
-    full = places.join(classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), "rep").select("rep", "fps", F.inline("at"))
+    full = places.join(prints, "rep").select("rep", "fps", F.inline("at"))
 
     def pairs_of(rows: DataFrame, fp: str, close) -> DataFrame:
         left = rows.where("not main").select("key", F.col("rep").alias("r"), F.col(fp).alias("f"), F.col("part").alias("p"))
