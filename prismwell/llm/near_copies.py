@@ -173,12 +173,17 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
     apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.f")[i].bitwiseXOR(F.col(f"{y}.f")[i])) for i in range(1, wide)), F.bit_count(F.col(f"{x}.f")[0].bitwiseXOR(F.col(f"{y}.f")[0])))
     close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
-    stars = cut(met.where(near("fp", "lead.fp") & (F.col("rep") != F.col("lead.rep"))).select(F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b")).distinct())
+    # a text's leaders are as many as its segments at most, so its fingerprints are fetched once for all of them
+    led = cut(met.where(near("fp", "lead.fp") & (F.col("rep") != F.col("lead.rep"))).groupBy("rep").agg(F.collect_set("lead.rep").alias("leads")))
+    pairs = led.select("rep", F.explode("leads").alias("lead"))
+    stars = pairs.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     small = classes.where("n = 5").select(F.col("rep").alias("a"), F.inline("less")).join(classes.where("n = 4").select(F.col("rep").alias("b"), *digest), digest).select("a", "b")
-    # a few hundred bytes a text rule most of them out before any shingle set is fetched
+    # a few hundred bytes a text rule most of these pairs out before any shingle set is fetched
     prints = classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps"))
-    likely = stars.join(prints.select(F.col("rep").alias("a"), F.col("fps").alias("pa")), "a").join(prints.select(F.col("rep").alias("b"), F.col("fps").alias("pb")), "b")
-    likely = cut(likely.where(close("pa", "pb")).select("a", "b"))
+    members = led.join(prints, "rep").select("rep", F.col("fps").alias("own"), F.explode("leads").alias("lead"))
+    leaders = prints.withColumnRenamed("rep", "lead").join(pairs.select("lead").distinct(), "lead", "left_semi")
+    likely = members.join(leaders, "lead").where(close("own", "fps")).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    likely = cut(likely.distinct())
     edges = verified(likely, reps, least, words).union(small)
     parts = cut(connected_components(edges).withColumnRenamed("node", "rep"))
 
