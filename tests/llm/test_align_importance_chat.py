@@ -14,7 +14,7 @@ import pytest
 
 from prismwell.llm import align, chat, importance, queries
 
-from ..oracle import duckdb_rows, spark_rows
+from tests.oracle import duckdb_rows, spark_rows
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
