@@ -11,7 +11,7 @@ the documents' sums are taken.
 
 Edge cases: null and empty texts have no tokens and zeros; so have texts that a tokenizer does not spell
 out byte by byte; a text with white space beyond ASCII, or with U+2581, is one span, whatever its length;
-a text longer than a block is a block of its own; repeated rows are documents of their own; null ids are
+a text longer than a block is a block of its own, and its spans are aligned in runs; repeated rows are documents of their own; null ids are
 kept; an empty table gives no rows; extra columns are not read.
 """
 
@@ -38,10 +38,14 @@ from .spans import give_back
 
 #: Bytes of text in a block, and spans whose ids a task remembers.
 BLOCK_BYTES, MAX_SPANS = 4 << 20, 300_000
+#: Spans in one pair of interval tables.
+SPANS_ALIGNED = 20_000
 #: DuckDB's share of a Python worker's memory.
-DUCKDB_MEMORY = "300MB"
+DUCKDB_MEMORY = "250MB"
 # fixed values: characters beyond ASCII that count as white space or stand for it
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581]")
+#: What stands before a token: first of a span, next of its side, first of B, first of a group.
+_MARKS = (b"", b",", b"|", b";")
 _APART = re.compile(rb"(?<=[^\t-\r ])(?= [^\t-\r ])")
 _UNEVEN = re.compile(rb"[\t-\r ] | [\t-\r ]| \Z")
 _BLOCK = "block long, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, spans binary, pairs binary, links binary"
@@ -109,6 +113,14 @@ def spans_of(text: bytes) -> list[bytes]:
     return text.split(b" ")
 
 
+class _Places(dict):
+    """span -> place, given in order of arrival."""
+
+    def __missing__(self, span: bytes) -> int:
+        self[span] = n = len(self)
+        return n
+
+
 class Aligner:
     """Blocks of texts to their documents, spans, links and partial pair counts."""
 
@@ -118,54 +130,75 @@ class Aligner:
         self.a, self.b, self.len_a, self.len_b = _sides(path_a, path_b)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.unspelled: set[bytes] = set()
+        self.ids = max(len(self.len_a), len(self.len_b))
+        self.said = [mark + str(i).encode() for mark in _MARKS for i in range(self.ids)]
+
+    def _spelled(self, side: ByteLevel | PieceModel, lengths: np.ndarray, texts: list[str], whole: list[bytes]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, and whether their bytes are the text's with a space before it."""
+        ids = side.ids(texts)
+        flat = np.fromiter((i for x in ids for i in x), np.int32)
+        ends = np.cumsum([len(x) for x in ids])
+        starts = np.concatenate([[0], ends[:-1]])
+        sums = np.concatenate([[0], np.cumsum(lengths[flat])])
+        if b"".join(map(side.bytes_of.__getitem__, flat.tolist())) == b"".join(whole) and (sums[ends] - sums[starts] == [len(w) for w in whole]).all():
+            same = [True] * len(texts)
+        else:
+            same = [b"".join(map(side.bytes_of.__getitem__, x)) == w for x, w in zip(ids, whole, strict=True)]
+        data = flat.tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], same
 
     def _learn(self, spans: list[bytes]) -> None:
         """Ids of both sides of new spans; None where a side does not spell the span."""
         for at in range(0, len(spans), 2000):
             group = spans[at : at + 2000]
-            texts = [s.decode("utf-8", "replace") for s in group]
-            for s, ia, ib in zip(group, self.a.ids(texts), self.b.ids(texts), strict=True):
-                whole = b" " + s
-                same = b"".join(map(self.a.bytes_of.__getitem__, ia)) == whole and b"".join(map(self.b.bytes_of.__getitem__, ib)) == whole
-                self.known[s] = (np.array(ia, np.int32).tobytes(), np.array(ib, np.int32).tobytes()) if same else None
-
-    def _intervals(self, side: int, ids: list[bytes], lengths: np.ndarray) -> pa.Table:
+            texts, whole = [s.decode("utf-8", "replace") for s in group], [b" " + s for s in group]
+            (ia, ok_a), (ib, ok_b) = self._spelled(self.a, self.len_a, texts, whole), self._spelled(self.b, self.len_b, texts, whole)
+            self.known.update(zip(group, zip(ia, ib, strict=True), strict=True))
+            bad = [s for s, x, y in zip(group, ok_a, ok_b, strict=True) if not (x and y)]
+            self.known.update(dict.fromkeys(bad))
+            self.unspelled.update(bad)
+
+    def _intervals(self, ids: list[bytes], lengths: np.ndarray) -> pa.Table:
         """Token intervals of one side of all spans, which follow one another in one line of bytes."""
         each = np.frombuffer(b"".join(ids), np.int32)
         ends = np.cumsum(lengths[each])
         span = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
         return pa.table({"i": np.arange(len(each)), "span": span, "id": each, "s": ends - lengths[each], "e": ends})
 
-    def aligned(self, spans: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray], list[bytes]]:
-        """Of spans with known ids: counts (n_a, n_b, n_groups, n_links), links by span and pair, groups as text."""
+    def aligned(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Of spans with known ids: counts (n_a, n_b, n_groups, n_links), the span and the pair of ids of each link, groups as text."""
         ids = [self.known[s] for s in spans]
+        ta, tb = self._intervals([x[0] for x in ids], self.len_a), self._intervals([x[1] for x in ids], self.len_b)
         con, n = self.con, len(spans)
-        con.register("ta", self._intervals(0, [x[0] for x in ids], self.len_a))
-        con.register("tb", self._intervals(1, [x[1] for x in ids], self.len_b))
+        con.register("ta", ta)
+        con.register("tb", tb)
         links = con.execute("""
             WITH met AS (SELECT ta.span, ta.id, ta.e, tb.i AS i0 FROM ta ASOF JOIN tb ON ta.s >= tb.s),
                  reach AS (SELECT met.span, met.id, met.i0, tb.i AS i1 FROM met ASOF JOIN tb ON met.e > tb.s)
-            SELECT r.span, CAST(r.id AS BIGINT) << 32 | tb.id AS pair, count(*) AS n
-            FROM reach r JOIN tb ON tb.i >= r.i0 AND tb.i <= r.i1
-            GROUP BY ALL ORDER BY r.span, pair
+            SELECT r.span, CAST(r.id AS BIGINT) << 32 | tb.id AS pair FROM reach r JOIN tb ON tb.i >= r.i0 AND tb.i <= r.i1
         """).fetchnumpy()
-        groups = con.execute("""
-            WITH ends AS (SELECT e FROM ta INTERSECT SELECT e FROM tb),
-                 every AS (SELECT span, 0 AS side, i, id, e FROM ta UNION ALL SELECT span, 1, i, id, e FROM tb),
-                 cuts AS (SELECT every.*, CASE WHEN side = 0 AND ends.e IS NOT NULL THEN 1 ELSE 0 END AS cut FROM every LEFT JOIN ends USING (e)),
-                 numbered AS (SELECT span, side, i, id, sum(cut) OVER (ORDER BY e DESC RANGE UNBOUNDED PRECEDING) AS g FROM cuts),
-                 sided AS (SELECT span, g, side, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids FROM numbered GROUP BY span, g, side),
-                 grouped AS (SELECT span, g, string_agg(ids, '|' ORDER BY side) AS pair FROM sided GROUP BY span, g)
-            SELECT span, count(*) AS n, string_agg(pair, ';' ORDER BY g DESC) AS said FROM grouped GROUP BY span ORDER BY span
-        """).fetchall()
+        numbered = [con.execute(f"""
+            WITH met AS (SELECT x.i, y.e IS NOT NULL AS is_cut FROM {x} x LEFT JOIN {y} y ON x.e = y.e)
+            SELECT i, coalesce(sum(CAST(is_cut AS INTEGER)) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM met ORDER BY i
+        """).fetchnumpy()["g"].astype(np.int64) for x, y in (("ta", "tb"), ("tb", "ta"))]
         con.unregister("ta")
         con.unregister("tb")
-        counts = np.zeros((n, 4), np.int64)
-        counts[:, 0], counts[:, 1] = [len(x[0]) // 4 for x in ids], [len(x[1]) // 4 for x in ids]
-        counts[:, 2] = [g[1] for g in groups]
-        span = np.asarray(links["span"], np.int64)
-        counts[:, 3] = np.bincount(span, np.asarray(links["n"]), n)
-        return counts, {"span": span, "pair": np.asarray(links["pair"], np.int64), "n": np.asarray(links["n"], np.int64)}, [g[2].encode() for g in groups]
+        pair, span = np.asarray(links["pair"], np.int64), np.asarray(links["span"], np.int64)
+        order = np.argsort(span, kind="stable")
+        # tokens by group, A before B: what stands before each tells it from the one before
+        side = np.repeat([0, 1], [len(ta), len(tb)])
+        group = np.concatenate(numbered)
+        place = np.argsort(2 * group + side, kind="stable")
+        side, group = side[place], group[place]
+        owner = np.concatenate([ta["span"].to_numpy(), tb["span"].to_numpy()])[place]
+        token = np.concatenate([ta["id"].to_numpy(), tb["id"].to_numpy()])[place].astype(np.int64)
+        fresh, new_span = np.diff(group, prepend=-1) > 0, np.diff(owner, prepend=-1) > 0
+        mark = np.where(new_span, 0, np.where(fresh, 3, np.where(np.diff(side, prepend=0) != 0, 2, 1)))
+        pieces = list(map(self.said.__getitem__, (mark * self.ids + token).tolist()))
+        ends = np.searchsorted(owner, np.arange(n), "right").tolist()
+        counts = np.stack([[len(x[0]) // 4 for x in ids], [len(x[1]) // 4 for x in ids], np.bincount(owner[fresh], minlength=n), np.bincount(span, minlength=n)], 1).astype(np.int64)
+        return counts, span[order], pair[order], [b"".join(pieces[i:j]) for i, j in zip([0, *ends], ends)]  # noqa: B905
 
     def block(self, number: int, ids: list, texts: list[bytes]) -> pd.DataFrame:
         """The block's rows: one for each document, and one with its spans' links and its partial pair counts."""
@@ -173,30 +206,36 @@ class Aligner:
         fresh = {s for spans in cutup for s in spans if s not in self.known}
         if len(self.known) + len(fresh) > MAX_SPANS:  # early spans are the frequent ones
             self.known = dict(islice(self.known.items(), MAX_SPANS // 3))
+            self.unspelled = {s for s, x in self.known.items() if x is None}
             fresh = {s for spans in cutup for s in spans if s not in self.known}
         self._learn(list(fresh))
-        place: dict[bytes, int] = {}
-        rows: list[np.ndarray] = []
-        for spans in cutup:
-            if any(self.known[s] is None for s in spans):
-                spans = []
-            rows.append(np.array([place.setdefault(s, len(place)) for s in spans], np.int32))
+        place = _Places()
+        if self.unspelled:
+            cutup = [spans if self.unspelled.isdisjoint(spans) else [] for spans in cutup]
+        rows = [np.fromiter(map(place.__getitem__, spans), np.int32, len(spans)) for spans in cutup]
         out = {"block": number, "doc_id": ids}
         if place:
-            counts, links, said = self.aligned(list(place))
+            distinct, counts, said, link_span, link_pair = list(place), [], [], [], []
+            for at in range(0, len(distinct), SPANS_ALIGNED):
+                some, of, pair, text = self.aligned(distinct[at : at + SPANS_ALIGNED])
+                counts.append(some)
+                link_span.append(of + at)
+                link_pair.append(pair)
+                said += text
+            counts, link_span = np.concatenate(counts), np.concatenate(link_span)
             sums = np.array([counts[r].sum(axis=0) if len(r) else np.zeros(4, np.int64) for r in rows])
             out |= dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums.T, strict=True))
             out["groups_sha256"] = [hashlib.sha256(b";".join([said[i] for i in r.tolist()])).hexdigest() if len(r) else "" for r in rows]
-            pairs, at = np.unique(links["pair"], return_inverse=True)
+            pairs, at = np.unique(np.concatenate(link_pair), return_inverse=True)
             # documents that hold a pair: distinct (document, span), spread over the span's pairs, made distinct again
             once = [np.unique(r) for r in rows]
             who, span = np.repeat(np.arange(len(rows)), [len(o) for o in once]), np.concatenate(once)
-            first = np.searchsorted(links["span"], np.arange(len(place) + 1))
+            first = np.searchsorted(link_span, np.arange(len(place) + 1))
             many = first[span + 1] - first[span]
             entry = np.repeat(first[span] - np.cumsum(many) + many, many) + np.arange(many.sum())
             held = np.unique(np.repeat(who, many) * len(pairs) + at[entry])
             docs = np.bincount(held % len(pairs), minlength=len(pairs))
-            whole = {"pairs": np.stack([pairs, docs]).astype(np.int64).tobytes(), "links": np.stack([links["span"], at, links["n"]]).astype(np.int32).tobytes()}
+            whole = {"pairs": np.stack([pairs, docs]).astype(np.int64).tobytes(), "links": np.stack([link_span, at]).astype(np.int32).tobytes()}
         else:
             out |= {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
             whole = None
@@ -253,6 +292,14 @@ def pair_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asked.drop("docs"), salted_join(merged, best, ["a"], "inner").select("a", "b", "count", (F.col("count") == F.col("most")).alias("is_best"))
 
 
+def _summed(span: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sums of whole numbers by span; spans come in order."""
+    first = np.flatnonzero(np.diff(span, prepend=-1))
+    out = np.zeros(int(span[-1]) + 1, np.int64)
+    out[span[first]] = np.add.reduceat(count, first)
+    return out
+
+
 def align_tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     id_type = docs.schema[id_col].dataType
@@ -266,11 +313,11 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, text: str = "text",
         out = of_docs[["doc_id", "n_a", "n_b", "n_groups", "n_links"]].copy()
         out["n_best"], out["count_sum"], out["groups_sha256"] = 0, 0, of_docs["groups_sha256"]
         if len(told):
-            span, place, n = np.frombuffer(found.loc[found["n_a"] < 0, "links"].iloc[0], np.int32).reshape(3, -1).astype(np.int64)
+            span, place = np.frombuffer(found.loc[found["n_a"] < 0, "links"].iloc[0], np.int32).reshape(2, -1)
             count, best = np.zeros(len(told), np.int64), np.zeros(len(told), np.int64)
             count[told["place"]], best[told["place"]] = told["count"], told["is_best"]
             by_span = np.zeros((int(span.max()) + 1, 2), np.int64)
-            np.add.at(by_span, span, np.stack([best[place] * n, count[place] * n], 1))
+            by_span[:, 0], by_span[:, 1] = np.bincount(span, best[place]), _summed(span, count[place])
             sums = [by_span[np.frombuffer(s, np.int32)].sum(axis=0) for s in of_docs["spans"]]
             out["n_best"], out["count_sum"] = [int(x[0]) for x in sums], [int(x[1]) for x in sums]
         return out
