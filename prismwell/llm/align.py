@@ -23,7 +23,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -37,9 +36,9 @@ from .common import cut, salted_join, scratch_path, text_bytes
 from .spans import give_back
 
 #: Bytes of text in a block, and spans whose ids a task remembers.
-BLOCK_BYTES, MAX_SPANS = 4 << 20, 300_000
-#: Spans in one pair of interval tables.
-SPANS_ALIGNED = 20_000
+BLOCK_BYTES, MAX_SPANS = 4 << 20, 450_000
+#: Spans in one pair of interval tables, and spans encoded as one text.
+SPANS_ALIGNED, JOINED = 20_000, 4000
 #: DuckDB's share of a Python worker's memory.
 DUCKDB_MEMORY = "250MB"
 # fixed values: characters beyond ASCII that count as white space or stand for it
@@ -113,64 +112,91 @@ def spans_of(text: bytes) -> list[bytes]:
     return text.split(b" ")
 
 
-class _Places(dict):
-    """span -> place, given in order of arrival."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, in order; sorts in place."""
+    x.sort()
+    return x[np.diff(x, prepend=x[0] - 1) > 0] if len(x) else x
 
-    def __missing__(self, span: bytes) -> int:
-        self[span] = n = len(self)
-        return n
+
+def _joinable(span: bytes) -> bool:
+    """Whether both tokenizers cut before and after the span where others stand beside it with one space between, unless it has wide white space."""
+    return bool(span) and span[0] > 0x20 and span[-1] > 0x20
 
 
 class Aligner:
-    """Blocks of texts to their documents, spans, links and partial pair counts."""
+    """Blocks of texts to their documents, spans, links and partial pair counts.
+
+    Spans are numbered as a task meets them, -1 where a side does not spell one. ``counts`` has n_a, n_b,
+    n_groups and n_links of each, ``said`` its groups as text, ``pairs`` its links from ``first`` on.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import duckdb
 
         self.a, self.b, self.len_a, self.len_b = _sides(path_a, path_b)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
-        self.known: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.unspelled: set[bytes] = set()
-        self.ids = max(len(self.len_a), len(self.len_b))
-        self.said = [mark + str(i).encode() for mark in _MARKS for i in range(self.ids)]
-
-    def _spelled(self, side: ByteLevel | PieceModel, lengths: np.ndarray, texts: list[str], whole: list[bytes]) -> tuple[list[bytes], list[bool]]:
-        """The ids of each text, and whether their bytes are the text's with a space before it."""
-        ids = side.ids(texts)
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        ends = np.cumsum([len(x) for x in ids])
-        starts = np.concatenate([[0], ends[:-1]])
-        sums = np.concatenate([[0], np.cumsum(lengths[flat])])
-        if b"".join(map(side.bytes_of.__getitem__, flat.tolist())) == b"".join(whole) and (sums[ends] - sums[starts] == [len(w) for w in whole]).all():
-            same = [True] * len(texts)
-        else:
-            same = [b"".join(map(side.bytes_of.__getitem__, x)) == w for x, w in zip(ids, whole, strict=True)]
-        data = flat.tobytes()
-        return [data[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], same
+        self.marked = max(len(self.len_a), len(self.len_b))
+        self.pieces = [mark + str(i).encode() for mark in _MARKS for i in range(self.marked)]
+        self.known: dict[bytes, int] = {}
+        self.said: list[bytes] = []
+        self.counts, self.first, self.pairs = np.zeros((0, 4), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _spelled(self, side: ByteLevel | PieceModel, lengths: np.ndarray, spans: list[bytes], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all spans, how many each has, whether their bytes are the span's with a space before it)."""
+        joined = " ".join(texts)
+        if len(spans) == 1 or not _WIDE_SPACE.search(joined):
+            (ids,) = side.ids([joined])
+            flat = np.array(ids, np.int32)
+            ends, cuts = np.cumsum(lengths[flat]), np.cumsum([len(s) + 1 for s in spans])
+            at = np.searchsorted(ends, cuts)
+            if len(flat) and at[-1] < len(flat) and (ends[at] == cuts).all() and b"".join(map(side.bytes_of.__getitem__, ids)) == b" " + b" ".join(spans):
+                return flat, np.diff(at, prepend=-1), np.ones(len(spans), bool)
+        one_by_one = side.ids(texts)
+        same = [b"".join(map(side.bytes_of.__getitem__, x)) == b" " + s for x, s in zip(one_by_one, spans, strict=True)]
+        return np.array([i for x in one_by_one for i in x], np.int32), np.array([len(x) for x in one_by_one]), np.array(same)
 
     def _learn(self, spans: list[bytes]) -> None:
-        """Ids of both sides of new spans; None where a side does not spell the span."""
-        for at in range(0, len(spans), 2000):
-            group = spans[at : at + 2000]
-            texts, whole = [s.decode("utf-8", "replace") for s in group], [b" " + s for s in group]
-            (ia, ok_a), (ib, ok_b) = self._spelled(self.a, self.len_a, texts, whole), self._spelled(self.b, self.len_b, texts, whole)
-            self.known.update(zip(group, zip(ia, ib, strict=True), strict=True))
-            bad = [s for s, x, y in zip(group, ok_a, ok_b, strict=True) if not (x and y)]
-            self.known.update(dict.fromkeys(bad))
-            self.unspelled.update(bad)
-
-    def _intervals(self, ids: list[bytes], lengths: np.ndarray) -> pa.Table:
+        """Number, encode and align new spans."""
+        plain = [s for s in spans if _joinable(s)]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)] + [[s] for s in spans if not _joinable(s)]
+        waiting: list[list[np.ndarray]] = []
+        held = 0
+        for n, group in enumerate(groups, 1):
+            texts = [s.decode("utf-8", "replace") for s in group]
+            (a, n_a, ok_a), (b, n_b, ok_b) = self._spelled(self.a, self.len_a, group, texts), self._spelled(self.b, self.len_b, group, texts)
+            if not (same := ok_a & ok_b).all():
+                self.known.update((s, -1) for s, ok in zip(group, same.tolist(), strict=True) if not ok)
+                group = [s for s, ok in zip(group, same.tolist(), strict=True) if ok]
+                a, b, n_a, n_b = a[np.repeat(same, n_a)], b[np.repeat(same, n_b)], n_a[same], n_b[same]
+            self.known.update(zip(group, range(len(self.said) + held, len(self.said) + held + len(group)), strict=True))
+            held += len(group)
+            waiting.append([a, n_a, b, n_b])
+            if held and (held >= SPANS_ALIGNED or n == len(groups)):
+                self._keep(*self.aligned(*map(np.concatenate, zip(*waiting, strict=True))))
+                waiting, held = [], 0
+
+    def _keep(self, counts: np.ndarray, pairs: np.ndarray, said: list[bytes]) -> None:
+        self.said += said
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts[:, 3])])
+        self.counts, self.pairs = np.concatenate([self.counts, counts]), np.concatenate([self.pairs, pairs])
+
+    def _forget(self) -> None:
+        """Keep a third of the memory: early spans are the frequent ones."""
+        n = MAX_SPANS // 3
+        self.known = {s: i for s, i in self.known.items() if 0 <= i < n}
+        n = min(n, len(self.said))
+        self.said, self.counts, self.first = self.said[:n], self.counts[:n], self.first[: n + 1]
+        self.pairs = self.pairs[: self.first[-1]]
+
+    def _intervals(self, ids: np.ndarray, each: np.ndarray, lengths: np.ndarray) -> pa.Table:
         """Token intervals of one side of all spans, which follow one another in one line of bytes."""
-        each = np.frombuffer(b"".join(ids), np.int32)
-        ends = np.cumsum(lengths[each])
-        span = np.repeat(np.arange(len(ids)), [len(x) // 4 for x in ids])
-        return pa.table({"i": np.arange(len(each)), "span": span, "id": each, "s": ends - lengths[each], "e": ends})
-
-    def aligned(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Of spans with known ids: counts (n_a, n_b, n_groups, n_links), the span and the pair of ids of each link, groups as text."""
-        ids = [self.known[s] for s in spans]
-        ta, tb = self._intervals([x[0] for x in ids], self.len_a), self._intervals([x[1] for x in ids], self.len_b)
-        con, n = self.con, len(spans)
+        ends = np.cumsum(lengths[ids])
+        return pa.table({"i": np.arange(len(ids)), "span": np.repeat(np.arange(len(each)), each), "id": ids, "s": ends - lengths[ids], "e": ends})
+
+    def aligned(self, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of spans, whose ids follow one another: counts (n_a, n_b, n_groups, n_links), the pair of ids of each link, groups as text."""
+        ta, tb = self._intervals(ids_a, n_a, self.len_a), self._intervals(ids_b, n_b, self.len_b)
+        con, n = self.con, len(n_a)
         con.register("ta", ta)
         con.register("tb", tb)
         links = con.execute("""
@@ -195,54 +221,56 @@ class Aligner:
         token = np.concatenate([ta["id"].to_numpy(), tb["id"].to_numpy()])[place].astype(np.int64)
         fresh, new_span = np.diff(group, prepend=-1) > 0, np.diff(owner, prepend=-1) > 0
         mark = np.where(new_span, 0, np.where(fresh, 3, np.where(np.diff(side, prepend=0) != 0, 2, 1)))
-        pieces = list(map(self.said.__getitem__, (mark * self.ids + token).tolist()))
+        pieces = list(map(self.pieces.__getitem__, (mark * self.marked + token).tolist()))
         ends = np.searchsorted(owner, np.arange(n), "right").tolist()
-        counts = np.stack([[len(x[0]) // 4 for x in ids], [len(x[1]) // 4 for x in ids], np.bincount(owner[fresh], minlength=n), np.bincount(span, minlength=n)], 1).astype(np.int64)
-        return counts, span[order], pair[order], [b"".join(pieces[i:j]) for i, j in zip([0, *ends], ends)]  # noqa: B905
+        counts = np.stack([n_a, n_b, np.bincount(owner[fresh], minlength=n), np.bincount(span, minlength=n)], 1).astype(np.int64)
+        return counts, pair[order], [b"".join(pieces[i:j]) for i, j in zip([0, *ends], ends)]  # noqa: B905
 
     def block(self, number: int, ids: list, texts: list[bytes]) -> pd.DataFrame:
         """The block's rows: one for each document, and one with its spans' links and its partial pair counts."""
         cutup = [spans_of(t) if t else [] for t in texts]
-        fresh = {s for spans in cutup for s in spans if s not in self.known}
-        if len(self.known) + len(fresh) > MAX_SPANS:  # early spans are the frequent ones
-            self.known = dict(islice(self.known.items(), MAX_SPANS // 3))
-            self.unspelled = {s for s, x in self.known.items() if x is None}
-            fresh = {s for spans in cutup for s in spans if s not in self.known}
+        flat = [s for spans in cutup for s in spans]
+        fresh = set(flat).difference(self.known)
+        if len(self.known) + len(fresh) > MAX_SPANS:
+            self._forget()
+            fresh = set(flat).difference(self.known)
         self._learn(list(fresh))
-        place = _Places()
-        if self.unspelled:
-            cutup = [spans if self.unspelled.isdisjoint(spans) else [] for spans in cutup]
-        rows = [np.fromiter(map(place.__getitem__, spans), np.int32, len(spans)) for spans in cutup]
+        lengths = np.array([len(spans) for spans in cutup])
+        number_of = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        unspelled = np.zeros(len(texts), bool)
+        unspelled[owner[number_of < 0]] = True
+        stay = ~unspelled[owner]
+        owner, number_of = owner[stay], number_of[stay]
         out = {"block": number, "doc_id": ids}
-        if place:
-            distinct, counts, said, link_span, link_pair = list(place), [], [], [], []
-            for at in range(0, len(distinct), SPANS_ALIGNED):
-                some, of, pair, text = self.aligned(distinct[at : at + SPANS_ALIGNED])
-                counts.append(some)
-                link_span.append(of + at)
-                link_pair.append(pair)
-                said += text
-            counts, link_span = np.concatenate(counts), np.concatenate(link_span)
-            sums = np.array([counts[r].sum(axis=0) if len(r) else np.zeros(4, np.int64) for r in rows])
-            out |= dict(zip(("n_a", "n_b", "n_groups", "n_links"), sums.T, strict=True))
-            out["groups_sha256"] = [hashlib.sha256(b";".join([said[i] for i in r.tolist()])).hexdigest() if len(r) else "" for r in rows]
-            pairs, at = np.unique(np.concatenate(link_pair), return_inverse=True)
-            # documents that hold a pair: distinct (document, span), spread over the span's pairs, made distinct again
-            once = [np.unique(r) for r in rows]
-            who, span = np.repeat(np.arange(len(rows)), [len(o) for o in once]), np.concatenate(once)
-            first = np.searchsorted(link_span, np.arange(len(place) + 1))
-            many = first[span + 1] - first[span]
-            entry = np.repeat(first[span] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            held = np.unique(np.repeat(who, many) * len(pairs) + at[entry])
-            docs = np.bincount(held % len(pairs), minlength=len(pairs))
-            whole = {"pairs": np.stack([pairs, docs]).astype(np.int64).tobytes(), "links": np.stack([link_span, at]).astype(np.int32).tobytes()}
-        else:
-            out |= {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": ""}
-            whole = None
-        found = pd.DataFrame(out | {"spans": [r.tobytes() for r in rows], "pairs": None, "links": None})
-        if whole is None:
-            return found
-        return pd.concat([found, pd.DataFrame([{"block": number, **whole}])], ignore_index=True)
+        if not len(owner):
+            empty = dict.fromkeys(("n_a", "n_b", "n_groups", "n_links"), 0)
+            return pd.DataFrame(out | empty | {"groups_sha256": "", "spans": [b""] * len(texts), "pairs": None, "links": None})
+        there = np.bincount(number_of, minlength=len(self.said)) > 0
+        distinct, place = np.flatnonzero(there), (np.cumsum(there) - 1)[number_of]
+        ends = np.searchsorted(owner, np.arange(len(texts)), "right")
+        starts = np.concatenate([[0], ends[:-1]])
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.counts[number_of], axis=0)])
+        out |= dict(zip(("n_a", "n_b", "n_groups", "n_links"), (sums[ends] - sums[starts]).T, strict=True))
+        said, order = self.said, number_of.tolist()
+        bounds = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        out["groups_sha256"] = [hashlib.sha256(b";".join([said[i] for i in order[x:y]])).hexdigest() if y > x else "" for x, y in bounds]
+        # the block's links: those of its spans, one span after the other
+        many = self.counts[distinct, 3]
+        first = np.cumsum(many) - many
+        entry = np.repeat(self.first[distinct] - first, many) + np.arange(many.sum())
+        pairs, at = np.unique(self.pairs[entry], return_inverse=True)
+        # documents that hold a pair: distinct (document, span), spread over the span's pairs, made distinct again
+        once = _distinct(owner * len(distinct) + place)
+        who, span = once // len(distinct), once % len(distinct)
+        spread = np.repeat(first[span] - np.cumsum(many[span]) + many[span], many[span]) + np.arange(many[span].sum())
+        held = _distinct(np.repeat(who, many[span]) * len(pairs) + at[spread])
+        docs = np.bincount(held % len(pairs), minlength=len(pairs))
+        spans = place.astype(np.int32)
+        found = pd.DataFrame(out | {"spans": [spans[x:y].tobytes() for x, y in bounds], "pairs": None, "links": None})
+        links = np.stack([np.repeat(np.arange(len(distinct)), many), at]).astype(np.int32)
+        whole = {"block": number, "pairs": np.stack([pairs, docs]).astype(np.int64).tobytes(), "links": links.tobytes()}
+        return pd.concat([found, pd.DataFrame([whole])], ignore_index=True)
 
 
 def _shape(found: pd.DataFrame) -> pd.DataFrame:
