@@ -7,60 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import kept
-
-#: Edges that one local contraction holds.
-CONTRACTED = 400_000
-
-
-def _stars(edges: list[tuple]) -> pd.DataFrame:
-    """Stars that span the components of these (mesh, u, v): each node with the least that it reaches."""
-    parent: dict = {}
-
-    def root(x):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        return x
-
-    for mesh, a, b in edges:
-        a, b = root((mesh, a)), root((mesh, b))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    out = [(*root(x), x[1]) for x in list(parent)]
-    return pd.DataFrame([(m, r, x) for m, r, x in out if r != x], columns=["mesh", "u", "v"])
-
+from ..graph import components
 
 def component_sizes(edges: DataFrame, mesh: str, u: str, v: str) -> DataFrame:
     """(mesh, component, size) of each mesh's graph; a component's name is its least node.
 
-    Each partition first replaces its edges by spanning stars, then rounds hang every node of a star
-    on the least node that it or its centre meets, until none moves. No mesh is gathered anywhere.
+    No mesh is gathered anywhere.
     """
-    kind = edges.schema[mesh].dataType.simpleString()
     plain = edges.select(F.col(mesh).alias("mesh"), F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
-
-    def contract(batches):
-        held: list[tuple] = []
-        for pdf in batches:
-            held += zip(pdf["mesh"].tolist(), pdf["u"].tolist(), pdf["v"].tolist(), strict=True)
-            if len(held) > CONTRACTED:
-                yield _stars(held)
-                held = []
-        yield _stars(held)
-
-    nodes = kept(plain.select("mesh", "u").union(plain.select("mesh", "v")).distinct().withColumnRenamed("u", "node"))
-    e = kept(plain.where("u <> v").mapInPandas(contract, f"mesh {kind}, u long, v long").distinct())
-    while True:
-        both = e.union(e.select("mesh", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("mesh", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # neighbours above a node hang on the least it meets, and so does the node itself
-        hung = both.join(least, ["mesh", "u"]).where("v > m").select("mesh", F.col("m").alias("u"), "v").union(least.where("m < u").select("mesh", F.col("m").alias("u"), F.col("u").alias("v"))).distinct()
-        now = kept(hung)
-        if now.exceptAll(e).isEmpty():
-            break
-        e = now
-    # a star's centre is no leaf of another: each leaf has one centre by now
-    named = nodes.join(e.groupBy("mesh", F.col("v").alias("node")).agg(F.min("u").alias("component")), ["mesh", "node"], "left")
+    nodes = plain.select("mesh", F.explode(F.array("u", "v")).alias("node")).distinct()
+    found = components(plain, "mesh").withColumnRenamed("graph", "mesh")
+    named = nodes.join(found, ["mesh", "node"], "left")
     return named.groupBy("mesh", F.coalesce("component", "node").alias("component")).agg(F.count("*").alias("size"))
 
 
@@ -90,18 +47,27 @@ def hull_area(xy: np.ndarray) -> float:
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
 
 
-def hull_areas(points: DataFrame, mesh: str, x: str, y: str) -> DataFrame:
-    """(mesh, area): each batch keeps its hulls' corners only, whose hull is that of all points; corners are few whatever the points."""
+def hull_areas(points: DataFrame, mesh: str, x: str, y: str, shares: int = 64) -> DataFrame:
+    """(mesh, area): batches keep their hulls' corners only, shares of a mesh those of their batches, and the mesh those of its shares.
+
+    Corners are few whatever the points, as long as these lie on no circle; a share bounds what one task holds even then.
+    """
     kind = points.schema[mesh].dataType.simpleString()
+    schema = f"mesh {kind}, x double, y double, share int"
 
     def corners(batches):
         for pdf in batches:
             for key, part in pdf.groupby("mesh", sort=False, dropna=False):
                 ring = hull_points(part[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({"mesh": [key] * len(ring), "x": ring[:, 0], "y": ring[:, 1]}, columns=["mesh", "x", "y"])
+                out = pd.DataFrame({"mesh": [key] * len(ring), "x": ring[:, 0], "y": ring[:, 1]}, columns=["mesh", "x", "y"])
+                yield out.assign(share=np.arange(len(ring)) % shares)
+
+    def of_share(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = hull_points(pdf[["x", "y"]].to_numpy(float))
+        return pdf.iloc[: len(ring)].assign(x=ring[:, 0], y=ring[:, 1])
 
     plain = points.select(F.col(mesh).alias("mesh"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    few = plain.mapInPandas(corners, f"mesh {kind}, x double, y double")
+    few = plain.mapInPandas(corners, schema).groupBy("mesh", "share").applyInPandas(of_share, schema)
     return few.groupBy("mesh").applyInPandas(lambda key, pdf: pd.DataFrame({"mesh": [key[0]], "area": [hull_area(pdf[["x", "y"]].to_numpy(float))]}), f"mesh {kind}, area double")
 
 
@@ -133,8 +99,3 @@ def camera_place(target: tuple[Column, Column, Column], distance: Column, azimut
     az, el = F.radians(azimuth), F.radians(elevation)
     x, y, z = target
     return x + distance * F.cos(el) * F.sin(az), y - distance * F.cos(el) * F.cos(az), z + distance * F.sin(el)
-
-
-def decision(confidence: Column, flat: Column, auto: float = 0.78, review: float = 0.55) -> Column:
-    """What becomes of a mesh's floor."""
-    return F.when(flat, "skip_flat").when(confidence >= auto, "removed").when(confidence >= review, "review").otherwise("keep")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,25 @@ def build_session(master: str = "local[*]", app: str = "prismwell", **conf: str)
     return SparkSession.builder.master(master).appName(app).config(map=settings).getOrCreate()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the folder that ``spark.checkpoint.dir`` names; a local session gets a temporary one where it is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share; a local session gets a temporary one where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismwell-ckpt-"))
+    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/prismwell-{label}-{uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and keep its rows in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
