@@ -1,15 +1,12 @@
-"""Resource planning: device specs, reservations, greedy leases, failure classes."""
+"""Resource planning: device specs, reservations, failure classes, shards."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: what makes a device busy
 BUSY_MIB, BUSY_UTILIZATION = 60_000, 90
-#: Columns of a plan.
-PLAN = "job_id long, devices string, status string, reason string"
 
 
 def expand_spec(spec: Column, total: Column) -> tuple[Column, Column]:
@@ -40,33 +37,6 @@ def reservation(index: Column, excluded: Column, reserved: Column, memory: Colum
     )
 
 
-def greedy_plan(pool: DataFrame, jobs: DataFrame, group: str) -> DataFrame:
-    """A plan for each group of devices and jobs: by priority, the first free devices with room enough.
-
-    Leases depend on those before them, so a group (a cluster's bounded queue) is one task's.
-    ``pool`` has device and free_mib, ``jobs`` job_id, priority, needed, min_free and most_parallel.
-    """
-
-    def plan(key: tuple, devices: pd.DataFrame, queue: pd.DataFrame) -> pd.DataFrame:
-        free = dict(sorted(zip(devices["device"].tolist(), devices["free_mib"].tolist(), strict=True)))
-        running, out = 0, []
-        for j in queue.sort_values(["priority", "job_id"]).itertuples(index=False):
-            fit = [d for d, mib in free.items() if mib >= j.min_free]
-            if running >= j.most_parallel:
-                out.append((j.job_id, "", "rejected", "max_parallel"))
-            elif len(fit) < j.needed:
-                out.append((j.job_id, "", "rejected", "no_devices"))
-            else:
-                taken = fit[: j.needed]
-                for d in taken:
-                    del free[d]
-                running += 1
-                out.append((j.job_id, ",".join(map(str, taken)), "leased", ""))
-        return pd.DataFrame(out, columns=["job_id", "devices", "status", "reason"])
-
-    return pool.groupBy(group).cogroup(jobs.groupBy(group)).applyInPandas(plan, PLAN)
-
-
 def failure_class(log: Column) -> Column:
     """The class of a failed run by what its log says."""
     t = F.lower(log)

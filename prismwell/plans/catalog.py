@@ -9,7 +9,7 @@ from ..functions.exprs import derived_seed, paper_id, rounded, slug, word_head
 from ..operators import constraints, control, gates, geometry, lifecycle, lineage, pairs, scheduling, scoring, stats, text
 from ..sources import dryrun
 from ..streaming import registry
-from . import geometry_queries, mesh_queries, request_queries, review_queries, state_queries  # noqa: F401  they register their queries
+from . import geometry_queries, mesh_queries, planner_queries, request_queries, review_queries, state_queries  # noqa: F401  they register their queries
 from .register import ORACLE, QUERIES, query, table  # noqa: F401
 
 # --- pairs and splits ---
@@ -494,15 +494,6 @@ def reservations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.coalesce(why, F.lit("free")).alias("state"))
 
 
-@query()
-def greedy_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    cluster = (F.col("o_custkey") % 50).alias("cluster")
-    jobs = o.select(cluster, F.col("o_orderkey").alias("job_id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("needed"), (F.col("o_orderkey") % 5 * 10000).alias("min_free"), F.lit(4).alias("most_parallel"))
-    pool = spark.range(50 * 8).select((F.col("id") % 50).alias("cluster"), F.floor(F.col("id") / 50).cast("int").alias("device"), (F.col("id") * 7919 % 80000).alias("free_mib"))
-    return scheduling.greedy_plan(pool, jobs, "cluster")
-
-
 _LOG = "CASE event_id % 6 WHEN 0 THEN 'CUDA out of memory in panogen' WHEN 1 THEN 'torch.OutOfMemoryError' WHEN 2 THEN 'blender: command not found' WHEN 3 THEN 'NCCL all_gather failed' WHEN 4 THEN 'nccl ok' ELSE props END"
 
 
