@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import registry_state, requests, scheduling, text
+from ..streaming import assets
 from .register import query, table
 
 _q = lambda s: s.replace("'", "''")
@@ -185,3 +186,39 @@ def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = e.where("value > 100").select("user_id", F.col("event_type").alias("field")).distinct()
     asked = e.where("value < 20").select("user_id", F.lit(" what WAS seen? ").alias("question"))
     return text.open_questions(templates, answered, asked, "user_id", 2)
+
+
+_KINDS = ("deprecate", "claim", "promote", "fail", "restart")
+
+
+@query("""WITH RECURSIVE ev AS (SELECT user_id AS a, event_id AS seq, event_id % 5 AS k, event_id % 7 = 0 AS fin, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    st AS (
+        SELECT a, 0::BIGINT AS n, 0::BIGINT AS seq, 'active' AS status, 0 AS used, 0 AS restarts, 0 AS active, MAP {0: 'active'} AS versions, MAP {-1: ''} AS jobs, NULL::INTEGER AS job, NULL::BIGINT AS started FROM (SELECT DISTINCT a FROM ev)
+        UNION ALL
+        SELECT a, n, seq,
+            CASE k WHEN 0 THEN CASE WHEN job IS NULL AND used + 1 > 2 THEN 'manual_reprompt_required' ELSE 'deprecated_pending_replacement' END WHEN 2 THEN 'active' WHEN 3 THEN CASE WHEN fin THEN 'manual_reprompt_required' ELSE 'deprecated_pending_replacement' END
+                   WHEN 4 THEN CASE WHEN job IS NOT NULL THEN status WHEN restarts >= 2 THEN 'manual_reprompt_required' ELSE 'deprecated_pending_replacement' END ELSE status END,
+            CASE WHEN k IN (2, 3) THEN greatest(used, number) ELSE used END,
+            CASE WHEN k = 2 THEN 0 WHEN k = 4 AND job IS NULL AND restarts < 2 THEN restarts + 1 ELSE restarts END,
+            CASE WHEN k = 2 THEN number ELSE active END,
+            CASE k WHEN 0 THEN map_concat(versions, MAP {active: CASE WHEN job IS NULL AND used + 1 > 2 THEN 'replacement_failed' ELSE 'deprecated_pending_replacement' END})
+                   WHEN 2 THEN map_concat(map_concat(versions, MAP {active: 'deprecated'}), MAP {number: 'active'}) WHEN 3 THEN map_concat(versions, MAP {number: 'replacement_failed'}) ELSE versions END,
+            CASE WHEN k = 0 AND job IS NULL AND used + 1 <= 2 THEN map_concat(jobs, MAP {used + 1: 'queued'}) WHEN k = 1 AND job IS NOT NULL AND jobs[job] = 'queued' THEN map_concat(jobs, MAP {job: 'running'})
+                 WHEN k IN (2, 3) AND map_contains(jobs, number) THEN map_concat(jobs, MAP {number: CASE k WHEN 2 THEN 'completed' ELSE 'failed' END}) WHEN k = 4 AND job IS NULL AND restarts < 2 THEN map_concat(jobs, MAP {greatest(used, 1): 'queued'}) ELSE jobs END,
+            CASE WHEN k = 0 AND job IS NULL AND used + 1 <= 2 THEN used + 1 WHEN k IN (2, 3) THEN NULL WHEN k = 4 AND job IS NULL AND restarts < 2 THEN greatest(used, 1) ELSE job END,
+            CASE WHEN k = 1 AND job IS NOT NULL AND jobs[job] = 'queued' THEN ms ELSE started END
+        FROM (SELECT st.a, ev.n, ev.seq, ev.k, ev.fin, ev.ms, status, used, restarts, active, versions, job, started, coalesce(job, used + 1) AS number,
+                     CASE WHEN job IS NOT NULL AND jobs[job] = 'running' AND ev.ms - started >= 7200000 THEN map_concat(jobs, MAP {job: 'queued'}) ELSE jobs END AS jobs
+              FROM st JOIN ev ON ev.a = st.a AND ev.n = st.n + 1) x)
+    SELECT a AS asset_id, seq, status, used AS attempts_used, restarts, format('attempt_{:02d}', active) AS active_version, nullif(coalesce(job, list_max(map_keys(jobs))), -1) AS job_attempt,
+           nullif(jobs[coalesce(job, list_max(map_keys(jobs)))], '') AS job_status, array_to_string(list_sort([format('attempt_{:02d}:', e.key) || e.value FOR e IN map_entries(versions)]), ',') AS versions
+    FROM st QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC) = 1""")
+def asset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as assets, their events as what happens to them: the registry's last entries with versions and jobs."""
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = e.select(
+        F.col("user_id").alias("asset_id"), F.col("event_id").alias("seq"), kind.alias("event"), F.lit(None).cast("int").alias("attempt"), F.col("event_type").alias("reason"),
+        (F.col("event_id") % 7 == 0).alias("final"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"),
+    )
+    return assets.folded_registry(rows).drop("note")
