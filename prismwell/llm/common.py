@@ -47,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back: for loops, as a checkpoint carries on the constraints of its plan."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def whole_rows(docs: DataFrame) -> Column:
     """All columns as one struct ``_row``; whatever they are called, they clash with no name outside it."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

@@ -6,13 +6,16 @@ Segments are about as long as the table's row count needs for chance buckets to
 that share one are kept if an independent fingerprint is near, and then verified by their shingles.
 
 In a bucket each member is first compared with a leader only; segments take turns at some orders of
-the documents, so a group has several leaders. Where that leaves several components, all pairs of
+the documents, so a group has several leaders. The orders follow one another, and pairs that are linked
+already are not verified again. Pairs of sets whose sizes alone rule a similarity out are dropped. Where that leaves several components, all pairs of
 different components follow, so no link between components is lost. In large buckets all fingerprints
 are compared for that, not one: two thousand bits tell a similarity of 0.8 from one of 0.7, so texts
 edited beyond the threshold are not verified against all others.
 
 Edge cases: null and blank texts have the empty set and are copies of one another; a text of fewer
-words than a shingle is one shingle; rows with a null id stay; repeated rows keep one.
+words than a shingle is one shingle; rows with a null id stay; repeated rows keep one, and rows of one
+id with different texts count as different; ties go to the least id; texts of any length are hashed in
+whole; an empty table gives no rows; extra columns are handed on and clash with none used here.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, connected_components, cut, salted_join, text_bytes
+from .common import LOWER_AZ, connected_components, cut, salted_join, stored, text_bytes, whole_rows
 from .spans import as_long, batches_of, give_back, mixed, range_hashes, prefix_sums, rolling_hashes, word_hashes, words_of
 
 #: Shingles whose bits are counted at a time.
@@ -107,7 +110,7 @@ def segments_for(rows: int, recall: float) -> tuple[int, int, int]:
 
 
 def with_signatures(docs: DataFrame, functions: int, words: int) -> DataFrame:
-    """``_id``, the set's size ``n``, its digest ``d1``, ``d2`` (sums over the shingles), ``fps``, and ``less``.
+    """``_id``, ``_h``, the set's size ``n``, its digest ``d1``, ``d2`` (sums over the shingles), ``fps``, and ``less``.
 
     ``less`` has the digests of a set of five without each of its shingles.
     """
@@ -123,7 +126,7 @@ def with_signatures(docs: DataFrame, functions: int, words: int) -> DataFrame:
         give_back()
         return pd.DataFrame(rows, columns=["n", "d1", "d2", "fps", "less"])
 
-    return docs.withColumn("_s", signed("_text")).select("_id", "_s.*")
+    return docs.withColumn("_s", signed("_text")).select("_id", "_h", "_s.*")
 
 
 def with_sets(reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -151,34 +154,55 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     """
     if least < LEAST:
         raise ValueError(f"the chance of a differing bit is derived for a similarity of {LEAST} or more")
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_bytes(text).alias("_text"))
+    return _grouped(docs, text, id_col, words, least, recall).select(F.col("_id").alias(id_col), "component_id")
+
+
+def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(_id, _h, _text) of the rows with an id: rows of one id are told apart by their texts' hash."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_bytes(text).alias("_text"))
+    return rows.select("_id", F.xxhash64("_text").alias("_h"), "_text")
+
+
+def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float, recall: float) -> DataFrame:
+    """(_id, _h, component_id, kept): of each row its group's least id, and whether it is the row that stays."""
+    texts = _keyed(docs, text, id_col)
     width, number, radius = segments_for(docs.count(), recall)
     per = 64 // width
     functions = -(-number // per) + 1
     rows = cut(with_signatures(texts, functions, words))
     digest = ["d1", "d2"]
-    classes = cut(rows.groupBy(*digest).agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("less").alias("less")))
-    # the texts of the classes' least ids; an id that is repeated with another text stands for each of them
-    reps = texts.join(classes.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi").dropDuplicates(["_id"])
+    classes = rows.groupBy(*digest).agg(F.min(F.struct("_id", "_h")).alias("row"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("less").alias("less"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class's number
+    reps = texts.join(classes.select("row.*", "rep"), ["_id", "_h"]).select(F.col("rep").alias("_id"), "_text").dropDuplicates(["_id"])
 
     mask = (1 << width) - 1
     key = F.expr(f"transform(sequence(0L, {number - 1}L), i -> shiftleft(i, {width}) | (shiftrightunsigned(fps[int(i div {per})], int((i % {per}) * {width})) & {mask}L))")
-    banded = classes.where("n > 0").select("rep", F.element_at("fps", -1).alias("fp"), F.explode(key).alias("key"))
+    banded = classes.where("n > 0").select("rep", "n", F.element_at("fps", -1).alias("fp"), F.explode(key).alias("key"))
     bucket = Window.partitionBy("key")
-    order = F.xxhash64("rep", F.expr(f"shiftright(key, {width}) % {LEADERS}")).alias("order")
-    met = banded.select("*", F.count("*").over(bucket).alias("k"), F.min(F.struct(order, "rep", "fp")).over(bucket).alias("lead")).where("k > 1")
-    met = cut(met.select("rep", "fp", "key", "k", F.struct("lead.rep", "lead.fp").alias("lead")))
+    turn = F.expr(f"shiftright(key, {width}) % {LEADERS}")
+    order = F.xxhash64("rep", turn).alias("order")
+    met = banded.select("*", F.count("*").over(bucket).alias("k"), F.min(F.struct(order, "rep", "fp", "n")).over(bucket).alias("lead")).where("k > 1")
+    met = cut(met.select("rep", "n", "fp", "key", "k", turn.alias("turn"), F.struct("lead.rep", "lead.fp", "lead.n").alias("lead")))
+    # sets of m and n shingles share min(m, n) at most, of max(m, n) at least
+    sizes = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-    stars = cut(met.where(near("fp", "lead.fp") & (F.col("rep") != F.col("lead.rep"))).select(F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b")).distinct())
+    led = met.where(near("fp", "lead.fp") & sizes("n", "lead.n") & (F.col("rep") != F.col("lead.rep"))).select("turn", F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b"))
+    stars = stored(led.groupBy("a", "b").agg(F.min("turn").alias("turn")))
     small = classes.where("n = 5").select(F.col("rep").alias("a"), F.inline("less")).join(classes.where("n = 4").select(F.col("rep").alias("b"), *digest), digest).select("a", "b")
-    edges = verified(stars, reps, least, words).union(small)
-    parts = cut(connected_components(edges).withColumnRenamed("node", "rep"))
-
-    more = met.where("k > 2").select("rep", "fp", "key", "k")
-    more = salted_join(more, parts, ["rep"]).select("rep", "fp", "key", "k", F.coalesce("component", "rep").alias("part"))
+    edges, parts = stored(small), None
+    for t in range(LEADERS):  # what an earlier leader has linked is not verified again
+        some = stars.where(F.col("turn") == t).select("a", "b")
+        if parts is not None:
+            of = lambda n: parts.select(F.col("rep").alias(n), F.col("component").alias(f"_{n}"))  # noqa: B023, E731
+            some = salted_join(salted_join(some, of("a"), ["a"]), of("b"), ["b"]).where("_a is null or _b is null or _a <> _b").select("a", "b")
+        edges = stored(edges.union(verified(stored(some), reps, least, words)))
+        parts = stored(connected_components(edges).withColumnRenamed("node", "rep"))
+
+    more = met.where("k > 2").select("rep", "n", "fp", "key", "k")
+    more = salted_join(more, parts, ["rep"]).select("rep", "n", "fp", "key", "k", F.coalesce("component", "rep").alias("part"))
     size = more.select("*", F.count("*").over(Window.partitionBy("key", "part")).alias("size"))
     most = F.max(F.struct("size", "part")).over(bucket)
-    split = cut(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
+    split = cut(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "n", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
     large = F.col("k") > LARGE
     wide = min(functions, WIDE)
     loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
@@ -186,27 +210,31 @@ def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
     # a text's fingerprints are fetched once, whatever number of large buckets (at most one a segment) it is in
     places = split.where(large).groupBy("rep").agg(F.collect_list(F.struct("key", "part", "main")).alias("at"))
-    full = places.join(classes.select("rep", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), "rep").select("rep", "fps", F.inline("at"))
+    full = places.join(classes.select("rep", "n", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), "rep").select("rep", "n", "fps", F.inline("at"))
 
     def pairs_of(rows: DataFrame, fp: str, close) -> DataFrame:
-        left = rows.where("not main").select("key", F.col("rep").alias("r"), F.col(fp).alias("f"), F.col("part").alias("p"))
-        return left.join(rows, "key").where((F.col("p") != F.col("part")) & close(fp, "f")).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
+        left = rows.where("not main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col(fp).alias("f"), F.col("part").alias("p"))
+        return left.join(rows, "key").where((F.col("p") != F.col("part")) & sizes("m", "n") & close(fp, "f")).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
 
     across = pairs_of(split.where(~large), "fp", near).union(pairs_of(full, "fps", close)).distinct()
     across = cut(across.join(stars, ["a", "b"], "left_anti"))
     parts = connected_components(edges.union(verified(across, reps, least, words)))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
-    return salted_join(rows.select("_id", *digest), named, digest, salts=2).select(F.col("_id").alias(id_col), "component_id")
+    named = stored(classes.join(parts, classes["rep"] == parts["node"], "left").select(*digest, "row", F.coalesce("component", "rep").alias("part")))
+    stays = named.groupBy("part").agg(F.min("row").alias("first"))
+    named = salted_join(named, stays, ["part"]).select(*digest, "first")
+    every = salted_join(rows.select("_id", "_h", *digest), named, digest, salts=2)
+    return every.select("_id", "_h", F.col("first._id").alias("component_id"), ((F.col("_id") == F.col("first._id")) & (F.col("_h") == F.col("first._h"))).alias("kept"))
 
 
 def keep_one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, least: float = LEAST, recall: float = 0.99) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the least id.
+    """``docs`` with one row of each group of near copies: that with the least id, of one id's texts that with the least hash.
 
-    Of repeated rows with that id one stays; rows with a null id stay as they are.
+    Of repeated rows one stays; rows of one id with different texts are rows of their own; rows with a null id stay as they are.
     """
-    found = near_copy_groups(docs, text, id_col, words, least, recall)
-    kept = cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_n")))
-    best = docs.join(kept.select(id_col), id_col, "left_semi")
+    found = _grouped(docs, text, id_col, words, least, recall)
+    kept = cut(found.where("kept").groupBy("_id", "_h").agg(F.count("*").alias("_n")))
+    told = docs.where(F.col(id_col).isNotNull()).select(whole_rows(docs), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_bytes(text)).alias("_h"))
+    best = told.join(kept.select("_id", "_h"), ["_id", "_h"], "left_semi")
     if not kept.where("_n > 1").isEmpty():
-        best = best.dropDuplicates([id_col])
-    return best.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+        best = best.dropDuplicates(["_id", "_h"])
+    return best.select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))
