@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import first_non_blank, has_any, squash_spaces
+from ..functions.exprs import has_any, squash_spaces
 
 # fixed values: routes, their other names, texts of prompts without a file, clauses, metadata keys
 ROUTES = ("t2i", "edit", "blender", "t2v")
@@ -85,24 +85,31 @@ def build_prompts(requests: DataFrame, file_rows: DataFrame) -> DataFrame:
     wide = requests.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("num_samples") - 1)))
     told = [c for c in file_rows.columns if c not in ("request_id", "idx")]
     met = wide.join(file_rows.select("request_id", "idx", *[F.col(c).alias(f"file_{c}") for c in told]), ["request_id", "idx"], "left")
-    of_file = lambda *keys: first_non_blank(*[F.col(f"file_{k}") for k in keys if k in told] or [F.lit(None).cast("string")])
-    base = F.coalesce(F.nullif(squash_spaces(F.col("user_request")), F.lit("")), F.lit(NO_REQUEST))
+    # each text is squashed, chosen and decorated once, as a column of its own: written out wherever it is used, the code outgrows what the JVM compiles
+    keys = [k for k in dict.fromkeys([*(k for ks in PROMPT_COLUMNS.values() for k in ks), "negative_prompt", "sample_id", "id", "original_prompt"]) if k in told]
+    met = met.withColumns({f"_{k}": F.nullif(squash_spaces(F.col(f"file_{k}")), F.lit("")) for k in keys} | {"_base": F.nullif(squash_spaces(F.col("user_request")), F.lit(""))})
+    of_file = lambda *ks: F.coalesce(*[F.col(f"_{k}") for k in ks if k in told], F.lit(None).cast("string"))
+    base = F.coalesce("_base", F.lit(NO_REQUEST))
     number = (F.col("idx") + 1).cast("string")
 
     def templated(text: str) -> Column:
         head, _, tail = text.partition("{n}")
         return F.concat(base, F.lit(head), number, F.lit(tail)) if tail else F.concat(base, F.lit(head))
 
-    image = F.coalesce(of_file(*PROMPT_COLUMNS["t2i"]), templated(T2I_PROMPT))
-    edit = F.coalesce(of_file(*PROMPT_COLUMNS["edit"]), templated(EDIT_PROMPT))
-    video = F.coalesce(of_file(*PROMPT_COLUMNS["t2v"]), templated(T2V_PROMPT))
-    said = F.when(F.col("route") == "t2i", image).when(F.col("route") == "edit", edit).when(F.col("route") == "t2v", video).otherwise(templated(BLENDER_PROMPT))
-    negative = F.when(F.col("route") == "t2v", F.coalesce(of_file("negative_prompt"), F.nullif("negative_prompt", F.lit("")), F.lit(T2V_NEGATIVE))).otherwise(of_file("negative_prompt"))
+    route = F.col("route")
+    said = (
+        F.when(route == "t2i", F.coalesce(of_file(*PROMPT_COLUMNS["t2i"]), templated(T2I_PROMPT)))
+        .when(route == "edit", F.coalesce(of_file(*PROMPT_COLUMNS["edit"]), templated(EDIT_PROMPT)))
+        .when(route == "t2v", F.coalesce(of_file(*PROMPT_COLUMNS["t2v"]), templated(T2V_PROMPT)))
+        .otherwise(templated(BLENDER_PROMPT))
+    )
+    met = met.withColumn("_said", said)
+    negative = F.when(route == "t2v", F.coalesce(of_file("negative_prompt"), F.nullif("negative_prompt", F.lit("")), F.lit(T2V_NEGATIVE))).otherwise(of_file("negative_prompt"))
+    met = met.withColumn("_edit", F.when(route == "edit", edit_instruction(F.col("_said"))))
     return met.select(
         "request_id", "idx", "route",
         F.coalesce(of_file("sample_id", "id"), F.format_string("%s_%04d", "sample_prefix", F.col("idx") + 1)).alias("sample_id"),
-        F.when(F.col("route") == "edit", edit_instruction(said)).otherwise(said).alias("prompt"),
-        F.coalesce(of_file("original_prompt"), said).alias("original_prompt"), negative.alias("negative_prompt"),
+        F.coalesce("_edit", "_said").alias("prompt"), F.coalesce(of_file("original_prompt"), F.col("_said")).alias("original_prompt"), negative.alias("negative_prompt"),
     )
 
 

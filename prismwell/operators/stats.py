@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
+from ..graph import spread_join
 
 
 #: Bins by which quantiles are narrowed down.
@@ -94,3 +95,56 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
     """HSV saturation, 0 for black."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     return F.when(top <= 1e-6, 0.0).otherwise((top - low) / top)
+
+
+def evenly_sampled(rows: DataFrame, index: str, n: int, most: int) -> DataFrame:
+    """``most`` of ``n`` numbered rows at even steps from the first to the last, all if there are no more; no sort."""
+    if n <= most:
+        return rows
+    i, step = F.col(index), (n - 1) / (most - 1)
+    near = F.floor(i / F.lit(step))
+    hit = lambda k: (k >= 0) & (k < most - 1) & (F.floor(k * F.lit(step)) == i)
+    return rows.where((i == n - 1) | hit(near - 1) | hit(near) | hit(near + 1))
+
+
+def distance_statistics(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """Per key of the finite values: n, min, p05, median, p95, max, mean, std, coefficient_of_variation, relative_range."""
+    sound = rows.select(F.col(key).alias("_k"), value.cast("double").alias("_v")).where("_v is not null and not isnan(_v) and abs(_v) < double('infinity')")
+    m = sound.groupBy("_k").agg(F.count("*").alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"), F.stddev_pop("_v").alias("std"))
+    size = F.greatest(F.abs("mean"), F.lit(1e-9))
+    m = m.select("_k", "n", "min", "max", "mean", "std", (F.col("std") / size).alias("coefficient_of_variation"), ((F.col("max") - F.col("min")) / size).alias("relative_range"))
+    at = lambda p: F.max(F.when(F.col("share") == p, F.col("q")))
+    marks = quantiles(sound, "_k", ["_v"], [0.05, 0.5, 0.95]).groupBy("_k").agg(at(0.05).alias("p05"), at(0.5).alias("median"), at(0.95).alias("p95"))
+    return m.join(marks, "_k").withColumnRenamed("_k", key)
+
+
+def radial_statistics(points: DataFrame, key: str, axes: list[str]) -> DataFrame:
+    """The same of the points' distances from the origin."""
+    return distance_statistics(points, key, F.sqrt(sum((F.col(a) * F.col(a) for a in axes), F.lit(0.0))))
+
+
+def depth_statistics(depths: DataFrame, key: str, value: str) -> DataFrame:
+    """The same of the positive depths; a key without any has no row."""
+    return distance_statistics(depths.where(F.col(value) > 0), key, F.col(value))
+
+
+#: A mask of fewer points is not used.
+LEAST_MASKED = 32
+
+
+def reference_color(pixels: DataFrame, image: str, channels: list[str], alpha: str) -> DataFrame:
+    """Per image: the colour of what it shows (r, g, b), pixel_count, colorfulness.
+
+    The points that count are those that are not see-through; if these are too few, those that are not
+    nearly white; if these are too few, all. All masks are counted in one pass. The colour is a blend of
+    the mean with the quantile 0.35 of each channel.
+    """
+    solid = F.coalesce(F.col(alpha) > 0.2, F.lit(False))
+    colored = ~F.coalesce(F.least(*channels) > 0.94, F.lit(False))
+    marked = pixels.select(F.col(image).alias("_k"), *channels, solid.alias("_m0"), colored.alias("_m1"))
+    counts = marked.groupBy("_k").agg(F.count_if("_m0").alias("_n0"), F.count_if("_m1").alias("_n1"))
+    chosen = spread_join(marked, counts, ["_k"], channels).where(F.when(F.col("_n0") >= LEAST_MASKED, F.col("_m0")).when(F.col("_n1") >= LEAST_MASKED, F.col("_m1")).otherwise(True))
+    means = chosen.groupBy("_k").agg(F.count("*").alias("pixel_count"), *[F.avg(c).alias(f"_{c}") for c in channels])
+    low = quantiles(chosen, "_k", channels, [0.35]).groupBy("_k").agg(*[F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"_low_{c}") for c in channels])
+    t = means.join(low, "_k").withColumns({n: rounded(F.col(f"_{c}") * 0.4 + F.col(f"_low_{c}") * 0.6, 4) for n, c in zip("rgb", channels, strict=True)})
+    return t.select(F.col("_k").alias(image), "r", "g", "b", "pixel_count", rounded(saturation(F.col("r"), F.col("g"), F.col("b")), 6).alias("colorfulness"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cameras
+from ..functions.exprs import rounded
+from ..operators import cameras, stats
+from ..sources import readers
 from .register import query, table
 
 _ROUND = lambda x, n=6: f"(floor(({x}) * {float(10**n)} + 0.5) / {float(10**n)})"
@@ -168,3 +170,52 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def floor_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("face"), F.col("l_quantity").alias("z")).distinct()
     return cameras.without_faces(f, f.where("z <= 2"), "l_suppkey", "face")
+
+
+_MARKS = "min(v) AS min, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.95) AS p95, max(v) AS max, avg(v) AS mean, stddev_pop(v) AS std"
+_TOLD = ("min", "p05", "median", "p95", "max", "mean", "std", "coefficient_of_variation", "relative_range")
+
+
+def _statistics(source: str) -> str:
+    """SQL of the statistics of ``v`` by ``l_suppkey``, rounded."""
+    rest = "std / greatest(abs(mean), 1e-9) AS coefficient_of_variation, (max - min) / greatest(abs(mean), 1e-9) AS relative_range"
+    return f"q AS (SELECT l_suppkey, count(*) AS n, {_MARKS} FROM {source} GROUP BY 1), t AS (SELECT *, {rest} FROM q) SELECT l_suppkey, n, {', '.join(f'{_ROUND(c)} AS {c}' for c in _TOLD)} FROM t"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: rounded(F.col(c), 6) for c in _TOLD})
+
+
+#: Points of a cloud that are looked at.
+SAMPLED = 20_000
+
+
+@query(f"""WITH c AS (SELECT l_suppkey, sqrt(l_quantity * l_quantity + l_discount * l_discount * 10000 + l_tax * l_tax * 10000) AS v, row_number() OVER () - 1 AS i FROM lineitem), k AS (SELECT count(*) AS n FROM lineitem),
+           s AS (SELECT c.* FROM c, k WHERE n <= {SAMPLED} OR i = n - 1 OR i IN (SELECT CAST(floor(j * ((n - 1)::DOUBLE / {SAMPLED - 1})) AS BIGINT) FROM range({SAMPLED - 1}) r(j), k)), {_statistics("s")}""")
+def radial_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud's evenly spaced points in the order of the file, by part."""
+    cloud = readers.placed(table(spark, sf_dir, "lineitem")).select("l_suppkey", "l_quantity", (F.col("l_discount") * 100).alias("d"), (F.col("l_tax") * 100).alias("t"), "_file", "_block")
+    every = readers.numbered(cloud, "i")
+    return _rounded(stats.radial_statistics(stats.evenly_sampled(every, "i", every.count(), SAMPLED), "l_suppkey", ["l_quantity", "d", "t"]))
+
+
+@query(f"WITH s AS (SELECT l_suppkey, l_quantity - 5 AS v FROM lineitem WHERE l_quantity > 5), {_statistics('s')}")
+def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.depth_statistics(table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_quantity") - 5).alias("depth")), "l_suppkey", "depth"))
+
+
+@query(f"""WITH p AS (SELECT l_suppkey AS image, CASE l_suppkey % 3 WHEN 2 THEN 0.95::DOUBLE ELSE l_quantity / 50.0::DOUBLE END AS r, CASE l_suppkey % 3 WHEN 2 THEN 0.97::DOUBLE ELSE l_discount * 9 END AS g, CASE l_suppkey % 3 WHEN 2 THEN 1.0::DOUBLE - l_tax / 10 ELSE l_tax * 12 END AS b,
+                  CASE l_suppkey % 3 WHEN 0 THEN l_discount * 10 ELSE 0.1::DOUBLE END AS a FROM lineitem),
+           m AS (SELECT *, count(*) FILTER (a > 0.2) OVER w AS n0, count(*) FILTER (NOT least(r, g, b) > 0.94) OVER w AS n1 FROM p WINDOW w AS (PARTITION BY image)),
+           c AS (SELECT * FROM m WHERE CASE WHEN n0 >= 32 THEN a > 0.2 WHEN n1 >= 32 THEN NOT least(r, g, b) > 0.94 ELSE true END),
+           q AS (SELECT image, count(*) AS pixel_count, {", ".join(f"floor((avg({x}) * 0.4 + quantile_cont({x}, 0.35) * 0.6) * 10000.0 + 0.5) / 10000.0 AS {x}" for x in "rgb")} FROM c GROUP BY 1)
+           SELECT image, r, g, b, pixel_count, CASE WHEN greatest(r, g, b) <= 1e-6 THEN 0.0 ELSE {_ROUND("(greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)")} END AS colorfulness FROM q""")
+def reference_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's lines as an image's points: see-through in part, wholly, or wholly and white."""
+    k = F.col("l_suppkey") % 3
+    white = lambda x, y: F.when(k == 2, x).otherwise(y)
+    d, t, q = _NUM("l_discount", "l_tax", "l_quantity")
+    p = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("image"), white(F.lit(0.95), q / 50.0).alias("r"), white(F.lit(0.97), d * 9).alias("g"), white(1.0 - t / 10, t * 12).alias("b"), F.when(k == 0, d * 10).otherwise(0.1).alias("a")
+    )
+    return stats.reference_color(p, "image", ["r", "g", "b"], "a")

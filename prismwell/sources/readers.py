@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def json_documents(spark: SparkSession, path: str, schema: str, strict: bool = True, default: list[tuple] | None = None) -> DataFrame:
     """One JSON object a file; a missing path gives the ``default`` rows, a root that is no object fails or is dropped."""
@@ -42,6 +44,62 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(is_object, F.try_variant_get("v", "$.prompt", "string")).otherwise(F.try_variant_get("v", "$", "string")).alias("prompt"))
 
 
+#: What a prompt file's row may say, by the names of its keys.
+PROMPT_FIELDS = (
+    "sample_id", "id", "prompt", "text", "user_request", "edit_instruction", "instruction", "negative_prompt", "original_prompt", "rewritten_prompt",
+    "original_edit_instruction", "tier", "source_prompt_id", "rewrite_reason", "source_image",
+)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows``, straight from a file source, with the place of their part of the file: what ``numbered`` needs."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
+def numbered(rows: DataFrame, name: str = "idx") -> DataFrame:
+    """``rows`` (from ``placed``, filtered or not) with their numbers from 0, in the order of files and of rows in them.
+
+    Nothing is sorted: a part's rows follow one another in its task, and parts begin after those before
+    them, whose counts, one a part, are all that reaches the driver.
+    """
+    spark = rows.sparkSession
+    told = kept(rows.withColumn("_at", F.monotonically_increasing_id()))
+    parts = told.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("low")).collect()
+    starts, before = [], 0
+    for r in sorted(parts, key=lambda r: (r["_file"], r["_block"])):
+        starts.append((r["_file"], r["_block"], before - r["low"]))
+        before += r["n"]
+    shift = F.broadcast(spark.createDataFrame(starts, "_file string, _block long, _shift long"))  # one row a part
+    return told.join(shift, ["_file", "_block"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_file", "_block", "_at", "_shift")
+
+
+def prompt_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, PROMPT_FIELDS, constraints): every row of a prompt file with all its fields, in the file's order.
+
+    The kinds of file are those of ``prompts``; a row that is no object is its own prompt. Values that
+    are no strings are given as they are written; constraints is a list's JSON text, null for all else.
+    """
+    if path.endswith((".json", ".jsonl")):
+        items = "array<variant>"
+        if path.endswith(".jsonl"):
+            lines = placed(spark.read.text(path)).where(F.length(F.trim("value")) > 0)
+            rows = numbered(lines.withColumn("v", F.parse_json("value"))).select("idx", "v")
+        else:
+            whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
+            inner = [F.try_variant_get("v", f"$.{k}", items) for k in ("samples", "prompts")]
+            filled = F.coalesce(*[F.when(F.size(x) > 0, x) for x in inner], F.try_variant_get("v", "$", items), F.array("v"))
+            rows = whole.select(F.posexplode(filled).alias("idx", "v"))
+    else:
+        lines = placed(spark.read.text(path)).where(F.length(F.trim("value")) > 0)
+        rows = numbered(lines).select("idx", F.to_variant_object(F.struct(F.trim("value").alias("prompt"))).alias("v"))
+    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    field = lambda k: F.try_variant_get("v", f"$.{k}", "string")
+    of = {k: F.when(is_object, field(k)) for k in PROMPT_FIELDS} | {"prompt": F.when(is_object, field("prompt")).otherwise(F.try_variant_get("v", "$", "string"))}
+    listed = F.try_variant_get("v", "$.constraints", "array<variant>")
+    constraints = F.when(is_object & listed.isNotNull(), F.to_json(F.try_variant_get("v", "$.constraints", "variant")))
+    return rows.select(F.col("idx").cast("int").alias("idx"), *[c.alias(k) for k, c in of.items()], constraints.alias("constraints"))
+
+
 def action_space(spark: SparkSession, path: str) -> DataFrame:
     """(grp, action, target, delta_type, delta, lo, hi) of an action space's JSON document."""
     action = "struct<target:string,delta_type:string,delta:double,bounds:array<double>>"

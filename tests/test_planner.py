@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismwell.operators import planner, scheduling
-from prismwell.plans.register import QUERIES
+from prismwell.plans.catalog import QUERIES
 
 JOB = "cluster string, job_id string, profile string, priority int, preferred array<int>"
 SF = "/root/testdata/sf0.001"
