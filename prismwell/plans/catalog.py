@@ -9,7 +9,7 @@ from ..functions.exprs import derived_seed, paper_id, rounded, slug, word_head
 from ..operators import constraints, control, gates, geometry, lifecycle, lineage, pairs, scheduling, scoring, stats, text
 from ..sources import dryrun
 from ..streaming import registry
-from . import geometry_queries, mesh_queries, planner_queries, request_queries, review_queries, state_queries  # noqa: F401  they register their queries
+from . import control_queries, geometry_queries, mesh_queries, planner_queries, request_queries, review_queries, state_queries  # noqa: F401  they register their queries
 from .register import ORACLE, QUERIES, query, table  # noqa: F401
 
 # --- pairs and splits ---
