@@ -182,11 +182,12 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
     turn = F.expr(f"shiftright(key, {width}) % {LEADERS}")
     order = F.xxhash64("rep", turn).alias("order")
     met = banded.select("*", F.count("*").over(bucket).alias("k"), F.min(F.struct(order, "rep", "fp", "n")).over(bucket).alias("lead")).where("k > 1")
-    met = cut(met.select("rep", "n", "fp", "key", "k", turn.alias("turn"), F.struct("lead.rep", "lead.fp", "lead.n").alias("lead")))
+    # as a table, by bucket: keys and leaders are the same row after row, and take next to no room
+    met = stored(met.select("rep", F.col("n").cast("int").alias("n"), "fp", "key", F.col("k").cast("int").alias("k"), F.struct("lead.rep", "lead.fp", F.col("lead.n").cast("int").alias("n")).alias("lead")))
     # sets of m and n shingles share min(m, n) at most, of max(m, n) at least
     sizes = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= radius
-    led = met.where(near("fp", "lead.fp") & sizes("n", "lead.n") & (F.col("rep") != F.col("lead.rep"))).select("turn", F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b"))
+    led = met.where(near("fp", "lead.fp") & sizes("n", "lead.n") & (F.col("rep") != F.col("lead.rep"))).select(turn.alias("turn"), F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b"))
     stars = stored(led.groupBy("a", "b").agg(F.min("turn").alias("turn")))
     small = classes.where("n = 5").select(F.col("rep").alias("a"), F.inline("less")).join(classes.where("n = 4").select(F.col("rep").alias("b"), *digest), digest).select("a", "b")
     edges, parts = stored(small), None
@@ -202,7 +203,7 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
     more = salted_join(more, parts, ["rep"]).select("rep", "n", "fp", "key", "k", F.coalesce("component", "rep").alias("part"))
     size = more.select("*", F.count("*").over(Window.partitionBy("key", "part")).alias("size"))
     most = F.max(F.struct("size", "part")).over(bucket)
-    split = cut(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "n", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
+    split = stored(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "n", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
     large = F.col("k") > LARGE
     wide = min(functions, WIDE)
     loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
