@@ -56,6 +56,12 @@ def rolling_band(rows: DataFrame, key: str, order: list[str], value: str, size:
     return rows.withColumn("band_lo", band(lo, default[0])).withColumn("band_hi", band(hi, default[1]))
 
 
+def sharpness(value: Column, lo: Column, hi: Column) -> Column:
+    """A variance's place between the ends of its band on a logarithmic scale, 0 to 1; a null variance is in the middle."""
+    score = (F.log1p(value) - F.log1p(lo)) / (F.log1p(hi) - F.log1p(lo) + 1e-6)
+    return F.when(score.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+
+
 def weighted_bins(rows: DataFrame, key: str, value: str, weight: str, step: float) -> DataFrame:
     """Total weight and weighted mean of each bin, with the bins' order by weight."""
     bin_of = F.bround(F.col(value) / step, 0).cast("long")

@@ -219,3 +219,12 @@ def reference_color(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("image"), white(F.lit(0.95), q / 50.0).alias("r"), white(F.lit(0.97), d * 9).alias("g"), white(1.0 - t / 10, t * 12).alias("b"), F.when(k == 0, d * 10).otherwise(0.1).alias("a")
     )
     return stats.reference_color(p, "image", ["r", "g", "b"], "a")
+
+
+@query(f"""WITH b AS (SELECT event_id, user_id, value, CASE WHEN count(value) OVER w >= 10 THEN floor((quantile_cont(value, 0.1) OVER w) * 10000.0 + 0.5) / 10000.0 ELSE 40.0 END AS lo, CASE WHEN count(value) OVER w >= 10 THEN floor((quantile_cont(value, 0.9) OVER w) * 10000.0 + 0.5) / 10000.0 ELSE 180.0 END AS hi
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
+           SELECT event_id, user_id, {_ROUND("CASE WHEN value IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, (ln(1 + value) - ln(1 + lo)) / (ln(1 + hi) - ln(1 + lo) + 1e-6))) END")} AS sharpness FROM b""")
+def sharpness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's value as a variance, scored against its user's last 500."""
+    b = stats.rolling_band(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return b.select("event_id", "user_id", rounded(stats.sharpness(F.col("value"), F.col("band_lo"), F.col("band_hi")), 6).alias("sharpness"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
-from ..operators import topology
+from ..operators import contracts, topology
 from ..session import kept, scratch
 from ..sources import meshes
 from .register import query, table
@@ -112,3 +112,30 @@ def mesh_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     meshes.write_meshes(terrain(spark, sf_dir), path, faces_per_file=200)
     t = topology.measured(meshes.triangles(spark, path))
     return t.groupBy("part").agg(F.count("*").alias("n_faces"), rounded(F.sum("area"), 6).alias("area"), F.min(F.least("z0", "z1", "z2")).alias("z_min"), F.max(F.greatest("z0", "z1", "z2")).alias("z_max"))
+
+
+_BOUNDS = f"""{_TRI}, vs AS (SELECT DISTINCT mesh, v, x, y, z FROM p), bx AS (SELECT mesh, {", ".join(f"min(least({a}0, {a}1, {a}2)) AS {a}_min, max(greatest({a}0, {a}1, {a}2)) AS {a}_max" for a in "xyz")}, count(*) AS face_count FROM tri GROUP BY 1),
+    bv AS (SELECT mesh, count(*) AS vertex_count FROM vs GROUP BY 1), b AS (SELECT * FROM bx JOIN bv USING (mesh))"""
+_SUPPORT = ("height", "area", "face_count", "anchor_x", "anchor_y", "x_min", "x_max", "y_min", "y_max")
+
+
+@query(f"""WITH {_BOUNDS}, rad AS (SELECT mesh, stddev_pop(sqrt(x * x + y * y + z * z)) / avg(sqrt(x * x + y * y + z * z)) AS cv FROM vs GROUP BY 1),
+           ex AS (SELECT mesh, z_min AS low, z_max AS high, greatest(0.02::DOUBLE, (z_max - z_min) * 0.005::DOUBLE) AS tol FROM b),
+           n AS (SELECT f.*, low, high, tol, CAST(round_even(z / tol, 0) AS BIGINT) AS bin FROM f JOIN ex USING (mesh) WHERE up >= cos(radians(20.0)) AND area > 0),
+           g AS (SELECT mesh, bin, any_value(low) AS low, any_value(high) AS high, any_value(tol) AS tol, sum(area) AS area, count(*) AS face_count, sum(area * z) / sum(area) AS height, sum(area * (x0 + x1 + x2)) / (3 * sum(area)) AS anchor_x, sum(area * (y0 + y1 + y2)) / (3 * sum(area)) AS anchor_y,
+                 min(least(x0, x1, x2)) AS x_min, max(greatest(x0, x1, x2)) AS x_max, min(least(y0, y1, y2)) AS y_min, max(greatest(y0, y1, y2)) AS y_max FROM n GROUP BY 1, 2),
+           sup AS (SELECT * FROM g WHERE bin * tol <= low + 0.45 * greatest(high - low, tol) AND area >= 0.5 AND least(x_max - x_min, y_max - y_min) >= 0.5 QUALIFY row_number() OVER (PARTITION BY mesh ORDER BY round(area, 9) DESC, bin DESC) = 1),
+           o AS (SELECT b.mesh, vertex_count, b.face_count AS n_faces, {_R("cv")} AS variation, CASE WHEN b.mesh % 10 = 3 THEN 'generic_support_name' WHEN cv < 0.01 THEN 'constant_radius_shell' WHEN sup.mesh IS NULL THEN 'no_support_surface' END AS reason,
+                 {", ".join(f"sup.{c} AS {c}" if c == "face_count" else f"{_R('sup.' + c)} AS {c}" for c in _SUPPORT)} FROM b JOIN rad USING (mesh) LEFT JOIN sup USING (mesh))
+           SELECT mesh, vertex_count, n_faces, variation, CASE WHEN reason IS NULL THEN 'ready' ELSE 'rejected' END AS status, reason, {", ".join(f"CASE WHEN reason IS NULL THEN {c} END AS {c}" for c in _SUPPORT)} FROM o""")
+def scene_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("mesh") % 10 == 3, " Ground").otherwise("terrace")
+    t = contracts.scene_contracts(kept(terrain(spark, sf_dir)), name)
+    a = F.col("scene_asset")
+    return t.select("mesh", a["vertex_count"].alias("vertex_count"), a["face_count"].alias("n_faces"), rounded(a["radial_statistics"]["coefficient_of_variation"], 6).alias("variation"), "status", "reason", *[F.col(f"support_surface.{c}") for c in _SUPPORT])
+
+
+@query(f"""WITH {_BOUNDS} SELECT mesh, vertex_count, face_count, {_R("z_min")} AS contact_height, [{", ".join(_R(f"{a}_max - {a}_min") for a in "xyz")}] AS dimensions_m, [{", ".join(_R(c) for c in ("x_min", "x_max", "y_min", "y_max"))}] AS footprint FROM b""")
+def object_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = contracts.object_contracts(kept(terrain(spark, sf_dir)))
+    return t.select("mesh", "vertex_count", "face_count", F.col("contact_plane.height").alias("contact_height"), "dimensions_m", F.col("contact_plane.footprint").alias("footprint"))
