@@ -55,6 +55,25 @@ def answer_prompt(answer: Column) -> Column:
     return F.coalesce(told, F.trim(F.regexp_extract(rest, r"(?m)^\s*(\S.*)$", 1)))
 
 
+# fixed values: what an answer without a line, and one without readable features, stands for
+NO_ANSWER, UNKNOWN = "photorealistic studio photo, white background, 8K", {"material": "unknown", "color": "unknown", "style": "unknown"}
+
+
+def parsed_answer(answer: Column) -> Column:
+    """(prompt, features) of a model's answer: the prompt told or the first filled line, and the flat JSON object after JSON:.
+
+    Thoughts between ``<think>`` marks count for nothing. Features are a map of texts; an answer without
+    any, or with an object that cannot be read, has unknown ones. White space is that of ASCII.
+    """
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    rest = bare(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?s)<think>.*?</think>", ""))
+    told = F.nullif(bare(F.regexp_extract(rest, r"(?s)PROMPT:\s*(.+?)(?:\nJSON:|$)", 1)), F.lit(""))
+    line = F.nullif(bare(F.regexp_extract(rest, r"^\s*([^\n]*)", 1)), F.lit(""))
+    found = F.try_parse_json(F.nullif(F.regexp_extract(rest, r"JSON:\s*(\{[^}]+\})", 1), F.lit("")))
+    unknown = F.create_map(*[F.lit(x) for pair in UNKNOWN.items() for x in pair])
+    return F.struct(F.coalesce(told, line, F.lit(NO_ANSWER)).alias("prompt"), F.coalesce(F.try_variant_get(found, "$", "map<string,string>"), unknown).alias("features"))
+
+
 def first_json(text: str | None) -> str | None:
     """The first JSON document in a text: the text itself, a fenced block, or balanced braces."""
     text = text or ""

@@ -222,3 +222,23 @@ def asset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 7 == 0).alias("final"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"),
     )
     return assets.folded_registry(rows).drop("note")
+
+
+_BARE = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, coalesce(CASE doc_id % 4 WHEN 0 THEN '<think>no' || chr(10) || 'PROMPT: wrong' || chr(10) || 'JSON: {{"color": "bad"}}</think>' || chr(10) || 'PROMPT: ' || text || chr(10) || 'JSON: {{"material": "m' || doc_id || '", "color": "red"}}'
+                  WHEN 1 THEN 'PROMPT: ' || text || chr(10) || 'JSON: {{broken, "color": }}' WHEN 2 THEN chr(10) || '  ' || text ELSE '<think>' || text || '</think>  ' || chr(10) END, '') AS t FROM documents),
+           r AS (SELECT doc_id, {_BARE("regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')")} AS t FROM a),
+           j AS (SELECT *, nullif(regexp_extract(t, 'JSON:\\s*(\\{{[^}}]+\\}})', 1), '') AS j FROM r)
+           SELECT doc_id, coalesce(nullif({_BARE("regexp_extract(t, '(?s)PROMPT:\\s*(.+?)(?:\\nJSON:|$)', 1)")}, ''), nullif({_BARE("regexp_extract(t, '^\\s*([^\\n]*)', 1)")}, ''), '{text.NO_ANSWER}') AS prompt,
+                  CASE WHEN json_valid(j) THEN j->>'material' ELSE 'unknown' END AS material, CASE WHEN json_valid(j) THEN j->>'color' ELSE 'unknown' END AS color, CASE WHEN json_valid(j) THEN j->>'style' ELSE 'unknown' END AS style FROM j""")
+def answer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a model's answers: with thoughts and an object, with a broken one, as plain lines, and of thoughts alone."""
+    k, t = F.col("doc_id") % 4, F.col("text")
+    answer = (
+        F.when(k == 0, F.concat(F.lit('<think>no\nPROMPT: wrong\nJSON: {"color": "bad"}</think>\nPROMPT: '), t, F.lit('\nJSON: {"material": "m'), F.col("doc_id").cast("string"), F.lit('", "color": "red"}')))
+        .when(k == 1, F.concat(F.lit("PROMPT: "), t, F.lit('\nJSON: {broken, "color": }'))).when(k == 2, F.concat(F.lit("\n  "), t)).otherwise(F.concat(F.lit("<think>"), t, F.lit("</think>  \n")))
+    )
+    d = table(spark, sf_dir, "documents").withColumn("_a", text.parsed_answer(answer))
+    return d.select("doc_id", F.col("_a.prompt").alias("prompt"), *[F.try_element_at("_a.features", F.lit(c)).alias(c) for c in ("material", "color", "style")])
