@@ -129,19 +129,21 @@ def with_signatures(docs: DataFrame, functions: int, words: int) -> DataFrame:
     return docs.withColumn("_s", signed("_text")).select("_id", "_h", "_s.*")
 
 
-def with_sets(reps: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(_id, s): the shingle sets, as sorted arrays, of the ids of ``reps``."""
+def with_sets(classes: DataFrame, ids: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(_id, s): the shingle sets, as sorted arrays, of the classes that ``ids`` (_id) names; only their texts move."""
 
     @F.pandas_udf("array<long>")
     def hashed(t: pd.Series) -> pd.Series:
         return pd.Series([as_long(s) for s in shingle_sets(list(t), words)], dtype=object)
 
-    return texts.join(reps, "_id", "left_semi").select("_id", hashed("_text").alias("s"))
+    rows = classes.select("rep", "row.*").join(ids.withColumnRenamed("_id", "rep"), "rep", "left_semi")
+    found = texts.join(rows, ["_id", "_h"]).select("rep", "_text").dropDuplicates(["rep"])
+    return found.select(F.col("rep").alias("_id"), hashed("_text").alias("s"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    sets = cut(with_sets(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), texts, words))
+    sets = stored(with_sets(classes, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), texts, words))
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"))
@@ -173,7 +175,6 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
     digest = ["d1", "d2"]
     classes = rows.groupBy(*digest).agg(F.min(F.struct("_id", "_h")).alias("row"), F.first("n").alias("n"), F.first("fps").alias("fps"), F.first("less").alias("less"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))  # a class's number
-    reps = texts.join(classes.select("row.*", "rep"), ["_id", "_h"]).select(F.col("rep").alias("_id"), "_text").dropDuplicates(["_id"])
 
     mask = (1 << width) - 1
     key = F.expr(f"transform(sequence(0L, {number - 1}L), i -> shiftleft(i, {width}) | (shiftrightunsigned(fps[int(i div {per})], int((i % {per}) * {width})) & {mask}L))")
@@ -196,7 +197,7 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
         if parts is not None:
             of = lambda n: parts.select(F.col("rep").alias(n), F.col("component").alias(f"_{n}"))  # noqa: B023, E731
             some = salted_join(salted_join(some, of("a"), ["a"]), of("b"), ["b"]).where("_a is null or _b is null or _a <> _b").select("a", "b")
-        edges = stored(edges.union(verified(stored(some), reps, least, words)))
+        edges = stored(edges.union(verified(stored(some), classes, texts, least, words)))
         parts = stored(connected_components(edges).withColumnRenamed("node", "rep"))
 
     more = met.where("k > 2").select("rep", "n", "fp", "key", "k")
@@ -218,8 +219,8 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
         return left.join(rows, "key").where((F.col("p") != F.col("part")) & sizes("m", "n") & close(fp, "f")).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
 
     across = pairs_of(split.where(~large), "fp", near).union(pairs_of(full, "fps", close)).distinct()
-    across = cut(across.join(stars, ["a", "b"], "left_anti"))
-    parts = connected_components(edges.union(verified(across, reps, least, words)))
+    across = stored(across.join(stars, ["a", "b"], "left_anti"))
+    parts = connected_components(edges.union(verified(across, classes, texts, least, words)))
     named = stored(classes.join(parts, classes["rep"] == parts["node"], "left").select(*digest, "row", F.coalesce("component", "rep").alias("part")))
     stays = named.groupBy("part").agg(F.min("row").alias("first"))
     named = salted_join(named, stays, ["part"]).select(*digest, "first")
