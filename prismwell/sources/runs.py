@@ -11,7 +11,10 @@ fail and write nothing; a run that failed leaves the pointer where it was; an em
 from __future__ import annotations
 
 import json
+import os
 import re
+from pathlib import Path
+from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +42,32 @@ class RunLog:
         return self._jvm.org.apache.hadoop.fs.Path(name)
 
     def _create(self, name: str, row: dict) -> None:
-        """Write a file that must not be there; the file system creates it for one writer only."""
+        """Write a file that must not be there; the file system creates it for one writer only.
+
+        HDFS and its like decide that when a file is created. Local and mounted folders do not through
+        Hadoop's interface, so there the whole file is linked to its name, which fails if the name is taken.
+        """
+        data, path = (json.dumps(row) + "\n").encode(), self._path(name)
+        if self._fs.getUri().getScheme() == "file":
+            local = Path(path.toUri().getPath())
+            local.parent.mkdir(parents=True, exist_ok=True)
+            whole = local.with_name(f".{uuid4().hex}")
+            whole.write_bytes(data)
+            try:
+                os.link(whole, local)
+            except FileExistsError:
+                raise RunConflict(f"{name} exists") from None
+            finally:
+                whole.unlink()
+            return
         try:
-            out = self._fs.create(self._path(name), False)
+            out = self._fs.create(path, False)
         except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception) or self._fs.exists(self._path(name)):
+            if "FileAlreadyExists" in str(e.java_exception) or self._fs.exists(path):
                 raise RunConflict(f"{name} exists") from None
             raise
         try:
-            out.write(bytearray((json.dumps(row) + "\n").encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
 
