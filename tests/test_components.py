@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import duckdb
 
+from prismwell import graph
 from prismwell.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -44,3 +46,28 @@ def test_lines_of_any_quantity_are_edges(spark, tmp_path):
 def test_components_of_the_whole_table(spark):
     edges = duckdb.sql(f"SELECT DISTINCT l_returnflag || l_linestatus || l_linenumber, l_suppkey, l_suppkey + l_partkey % 3 FROM '{SF}/lineitem.parquet'").fetchall()
     assert rows(catalog.QUERIES["components_whole"](spark, SF)) == sorted(brute_force(set(edges)))
+
+
+def test_graphs_that_a_task_can_hold_take_no_rounds(spark):
+    """A path of 3000 nodes in each of two graphs: before, every round of hanging nodes on lesser ones was three jobs and more."""
+    paths = [(g, i, i + 1) for g in (1, 2) for i in range(3000)]
+    random.Random(1).shuffle(paths)
+    spark.sparkContext.setJobGroup("paths", "components of paths")
+    try:
+        got = graph.components(spark.createDataFrame(paths, "graph long, u long, v long").repartition(6)).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("paths")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == [(g, i, 0) for g in (1, 2) for i in range(3001)]
+    assert len(jobs) <= 12
+
+
+def test_giants_and_others(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CONTRACTED", 50)
+    rng = random.Random(7)
+    lines = [("giant", rng.randint(1, 300), rng.randint(1, 300)) for _ in range(200)] + [("star", 5, i) for i in range(120)]
+    lines += [(f"g{k}", rng.randint(-9, 9), rng.randint(-9, 9)) for k in range(30) for _ in range(rng.randint(1, 12))] + [(None, 1, 2)]
+    found = [tuple(r) for r in graph.components(spark.createDataFrame(lines, "graph string, u long, v long").repartition(5)).collect()]
+    assert len({(g, node) for g, node, _ in found}) == len(found)
+    sizes = Counter((g, c) for g, _, c in found)
+    assert sorted((*k, n) for k, n in sizes.items()) == sorted(brute_force({x for x in lines if x[0] and x[1] != x[2]}))
