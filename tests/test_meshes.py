@@ -14,6 +14,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from prismwell import graph
 from prismwell.operators import geometry, topology
 from prismwell.plans import mesh_queries
 from prismwell.plans.register import QUERIES
@@ -333,3 +334,24 @@ def test_queries_without_sql(spark, name):
         assert all([r["confidence"] for r in sorted(rs, key=lambda r: r["place"])] == sorted((r["confidence"] for r in rs), reverse=True) for rs in by.values())
     else:
         assert set(by) == suppliers and all(len(rs) == 1 for rs in by.values())
+
+
+def test_giants_give_what_other_meshes_give(spark, monkeypatch):
+    """Components of meshes too large for a task come by rounds; those of others take no join by face."""
+    t = mesh_queries.terrain(spark, "/root/testdata/sf0.001").where("mesh < 3").localCheckpoint()
+    found = lambda: [sorted(map(tuple, df.collect())) for df in (topology.parts(t), topology.sweep_metrics(t).select("mesh", "band", "dot", "component", "n_faces", "z_min", "z_max"))]
+    whole = found()
+    monkeypatch.setattr(graph, "CONTRACTED", 300)
+    assert topology.giants(t)[1]
+    assert found() == whole and all(whole)
+
+
+def test_few_faces_in_a_task_need_no_rounds(spark):
+    """Before, the sweep of four bands was four loops of eager rounds."""
+    t = mesh_queries.terrain(spark, "/root/testdata/sf0.001").where("mesh < 3")
+    spark.sparkContext.setJobGroup("sweep", "few meshes")
+    try:
+        assert topology.sweep_metrics(t).count() and topology.topology(t).count()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sweep")) <= 45
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
