@@ -2,7 +2,8 @@
 
 ``spark.read.format("prismwell_mesh").load(folder or file)`` gives a row per triangle. A file of several
 slices' size is read by as many tasks: each reads the header, its share of the faces of every part, and
-the vertices between the least and the greatest that these faces name. A part is a mesh primitive under a
+the vertices between the least and the greatest that these faces name. Small files are read many to a
+task. A part is a mesh primitive under a
 node; the node's transform and those of the nodes above it are applied. Parts follow one another in the
 order of a walk through the scene, and so do the numbers of vertices and faces.
 
@@ -30,6 +31,8 @@ from .publish import filesystem, publish
 
 #: Bytes of a file that one task reads, and faces in a batch.
 SLICE_BYTES, BATCH_FACES = 64 << 20, 50_000
+#: Bytes that opening a file counts for when small files are put together.
+OPENING = 256 << 10
 TRIANGLES = "file string, part string, face long, v0 long, v1 long, v2 long, " + ", ".join(f"{a}{i} double" for i in range(3) for a in "xyz")
 # fixed values: glTF's codes of number types, the mode of triangle lists, and its chunk names
 _TYPES = {5120: "i1", 5121: "u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}
@@ -196,9 +199,25 @@ def parts_of(path: str, file: pa.NativeFile) -> list[Part]:
 
 @dataclass
 class Slice(InputPartition):
-    path: str
-    number: int
-    of: int
+    """Shares of files: (path, number, of how many)."""
+
+    shares: list[tuple[str, int, int]]
+
+
+def slices(files: list[tuple[str, int]], slice_bytes: int) -> list[Slice]:
+    """What each task reads of these files (path, bytes): a share of a large one, or some small ones."""
+    out, few, held = [], [], 0
+    for path, size in files:
+        n = max(1, -(-size // slice_bytes))
+        if n > 1:
+            out += [Slice([(path, k, n)]) for k in range(n)]
+            continue
+        if few and held + size + OPENING > slice_bytes:
+            out.append(Slice(few))
+            few, held = [], 0
+        few.append((path, 0, 1))
+        held += size + OPENING
+    return [*out, Slice(few)] if few else out
 
 
 class _Reader(DataSourceReader):
@@ -213,18 +232,31 @@ class _Reader(DataSourceReader):
         found = sorted((f.path, f.size) for f in files if f.type == pafs.FileType.File and f.path.lower().endswith((".glb", ".ply")))
         if not found:
             raise MeshError(f"no mesh file at {self.path}")
-        return [Slice(p, k, n) for p, size in found for n in [max(1, -(-size // self.slice_bytes))] for k in range(n)]
+        return slices(found, self.slice_bytes)
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for share in partition.shares:
+            for batch in self.faces_of(*share):
+                if held and count + len(batch) > BATCH_FACES:
+                    yield pa.concat_batches(held)
+                    held, count = [], 0
+                held.append(batch)
+                count += len(batch)
+        if held:
+            yield pa.concat_batches(held)
+
+    def faces_of(self, path: str, number: int, of: int) -> Iterator[pa.RecordBatch]:
         fs = filesystem(self.path)[0]
-        with fs.open_input_file(partition.path) as file:
+        with fs.open_input_file(path) as file:
             first_vertex = first_face = 0
-            for part in parts_of(partition.path, file):
-                start, stop = (k * part.n_faces // partition.of for k in (partition.number, partition.number + 1))
+            for part in parts_of(path, file):
+                start, stop = (k * part.n_faces // of for k in (number, number + 1))
                 for at in range(start, stop, BATCH_FACES):
                     v, xyz = part.faces(at, min(stop, at + BATCH_FACES))
                     n = len(v)
-                    columns = [pa.repeat(pa.scalar(partition.path), n), pa.repeat(pa.scalar(part.name), n), pa.array(np.arange(first_face + at, first_face + at + n))]
+                    columns = [pa.repeat(pa.scalar(path), n), pa.repeat(pa.scalar(part.name), n), pa.array(np.arange(first_face + at, first_face + at + n))]
                     columns += [pa.array(v[:, i] + first_vertex) for i in range(3)]
                     columns += [pa.array(xyz[:, i, a]) for i in range(3) for a in range(3)]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in TRIANGLES.split(", ")])

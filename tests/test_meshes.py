@@ -355,3 +355,10 @@ def test_few_faces_in_a_task_need_no_rounds(spark):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sweep")) <= 45
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_small_files_are_read_many_to_a_task():
+    small = [(f"{i}.glb", 9000) for i in range(1000)]
+    got = meshes.slices([*small[:500], ("large.glb", 3 * meshes.SLICE_BYTES), *small[500:]], meshes.SLICE_BYTES)
+    assert len(got) <= 3 + 5
+    assert sorted(x for s in got for x in s.shares) == sorted([(p, 0, 1) for p, _ in small] + [("large.glb", k, 3) for k in range(3)])
