@@ -47,28 +47,91 @@ def hull_area(xy: np.ndarray) -> float:
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
 
 
+#: Points of one mesh in a batch from which on their hull is worth taking before they move.
+WORTH_A_HULL = 64
+
+
+class _Chain:
+    """The lower and the upper half of a hull of points that come sorted."""
+
+    def __init__(self) -> None:
+        self.halves: tuple[list, list] = ([], [])
+
+    def add(self, x: float, y: float) -> None:
+        for out, sign in zip(self.halves, (1, -1), strict=True):
+            if out and out[-1] == (x, y):
+                continue
+            while len(out) > 1 and sign * ((out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0])) <= 0:
+                out.pop()
+            out.append((x, y))
+
+    def ring(self) -> list[tuple[float, float]]:
+        lower, upper = self.halves
+        return [*lower[:-1], *upper[:0:-1]] if len(lower) > 1 else lower
+
+    def area(self) -> float:
+        ring = self.ring()
+        if len(ring) < 3:
+            return 0.0
+        return abs(sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(ring, [*ring[1:], ring[0]], strict=True))) / 2
+
+
+def _chains(batches, by: list[str]):
+    """(key, chain) of each key's points, which come sorted by key and place; and None at the end of a batch."""
+    now, chain = None, None
+    for pdf in batches:
+        for *key, px, py in zip(*[pdf[c].tolist() for c in (*by, "x", "y")], strict=True):
+            if chain is None or key != now:
+                if chain is not None:
+                    yield now, chain
+                now, chain = key, _Chain()
+            chain.add(px, py)
+        yield None
+    if chain is not None:
+        yield now, chain
+    yield None
+
+
 def hull_areas(points: DataFrame, mesh: str, x: str, y: str, shares: int = 64) -> DataFrame:
-    """(mesh, area): batches keep their hulls' corners only, shares of a mesh those of their batches, and the mesh those of its shares.
+    """(mesh, area): batches with many points of a mesh keep their hulls' corners only, shares of a mesh those of their batches, and the mesh those of its shares.
 
-    Corners are few whatever the points, as long as these lie on no circle; a share bounds what one task holds even then.
+    Points come sorted by mesh and place, and a task grows one hull at a time. Corners are few whatever the
+    points, as long as these lie on no circle; a share bounds what one task holds even then.
     """
     kind = points.schema[mesh].dataType.simpleString()
     schema = f"mesh {kind}, x double, y double, share int"
 
     def corners(batches):
         for pdf in batches:
-            for key, part in pdf.groupby("mesh", sort=False, dropna=False):
+            pdf = pdf.drop_duplicates()
+            size = pdf.groupby("mesh", sort=False, dropna=False)["x"].transform("size")
+            yield pdf[size < WORTH_A_HULL].assign(share=0)
+            for key, part in pdf[size >= WORTH_A_HULL].groupby("mesh", sort=False, dropna=False):
                 ring = hull_points(part[["x", "y"]].to_numpy(float))
                 out = pd.DataFrame({"mesh": [key] * len(ring), "x": ring[:, 0], "y": ring[:, 1]}, columns=["mesh", "x", "y"])
                 yield out.assign(share=np.arange(len(ring)) % shares)
 
-    def of_share(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull_points(pdf[["x", "y"]].to_numpy(float))
-        return pdf.iloc[: len(ring)].assign(x=ring[:, 0], y=ring[:, 1])
+    def of_shares(batches):
+        rows: list = []
+        for got in _chains(batches, ["mesh", "share"]):
+            if got:
+                rows += [(got[0][0], px, py, got[0][1]) for px, py in got[1].ring()]
+            else:
+                yield pd.DataFrame(rows, columns=["mesh", "x", "y", "share"])
+                rows = []
+
+    def of_meshes(batches):
+        rows: list = []
+        for got in _chains(batches, ["mesh"]):
+            if got:
+                rows.append((got[0][0], got[1].area()))
+            else:
+                yield pd.DataFrame(rows, columns=["mesh", "area"])
+                rows = []
 
     plain = points.select(F.col(mesh).alias("mesh"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    few = plain.mapInPandas(corners, schema).groupBy("mesh", "share").applyInPandas(of_share, schema)
-    return few.groupBy("mesh").applyInPandas(lambda key, pdf: pd.DataFrame({"mesh": [key[0]], "area": [hull_area(pdf[["x", "y"]].to_numpy(float))]}), f"mesh {kind}, area double")
+    few = plain.mapInPandas(corners, schema).repartition("mesh", "share").sortWithinPartitions("mesh", "share", "x", "y").mapInPandas(of_shares, schema)
+    return few.repartition("mesh").sortWithinPartitions("mesh", "x", "y").mapInPandas(of_meshes, f"mesh {kind}, area double")
 
 
 def planes(points: DataFrame, mesh: str, row: str, axes: list[str], tolerance: float, tries: int = 100) -> DataFrame:

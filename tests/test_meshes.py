@@ -362,3 +362,18 @@ def test_small_files_are_read_many_to_a_task():
     got = meshes.slices([*small[:500], ("large.glb", 3 * meshes.SLICE_BYTES), *small[500:]], meshes.SLICE_BYTES)
     assert len(got) <= 3 + 5
     assert sorted(x for s in got for x in s.shares) == sorted([(p, 0, 1) for p, _ in small] + [("large.glb", k, 3) for k in range(3)])
+
+
+def test_hulls_of_many_small_meshes_and_a_large_one(spark):
+    """Hulls grow from sorted points: no group of points is gathered for each mesh and share, which took a second a thousand."""
+    rng = np.random.default_rng(3)
+    sets = {f"m{i}": np.round(rng.normal(size=(int(rng.integers(1, 12)), 2)), 1) for i in range(300)}
+    sets |= {"large": rng.normal(size=(20_000, 2)), "line": np.array([[k, 2.0 * k] for k in range(500)]), "point": np.ones((300, 2))}
+    rows = [(m, float(x), float(y)) for m, p in sets.items() for x, y in p]
+    random.Random(5).shuffle(rows)
+    df = geometry.hull_areas(spark.createDataFrame(rows, "mesh string, x double, y double").repartition(3), "mesh", "x", "y")
+    got = {r["mesh"]: r["area"] for r in df.collect()}
+    assert got.keys() == sets.keys()
+    for m, p in sets.items():
+        assert got[m] == pytest.approx(geometry.hull_area(p), abs=1e-9)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
