@@ -8,9 +8,9 @@ that share one are kept if an independent fingerprint is near, and then verified
 In a bucket each member is first compared with a leader only; segments take turns at some orders of
 the documents, so a group has several leaders. The orders follow one another, and pairs that are linked
 already are not verified again. Pairs of sets whose sizes alone rule a similarity out are dropped. Where that leaves several components, all pairs of
-different components follow, so no link between components is lost. In large buckets all fingerprints
-are compared for that, not one: two thousand bits tell a similarity of 0.8 from one of 0.7, so texts
-edited beyond the threshold are not verified against all others.
+different components follow, so no link between components is lost. In large buckets their sets decide
+where they meet: each is told by the shingles that it shares with one set of the bucket, a bit each, and
+those that it has beside it, so that only links leave the join and texts edited beyond the threshold make no rows.
 
 Edge cases: null and blank texts have the empty set and are copies of one another; a text of fewer
 words than a shingle is one shingle; rows with a null id stay; repeated rows keep one, and rows of one
@@ -21,10 +21,11 @@ whole; an empty table gives no rows; extra columns are handed on and clash with
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, connected_components, cut, salted_join, stored, text_bytes, whole_rows
@@ -35,14 +36,12 @@ BLOCK = 4096
 #: The greatest chance that a bit differs at similarity 0.8: the limit for large sets is
 #: acos(0.8 / 0.9) / pi = 0.1515, sets of 14 against 13 shingles have the most, 0.1612 (4 against 5, with 0.1875, are linked exactly).
 FLIP = 0.1612
-#: The same where both sets have 50 shingles or more, from all sizes of sets by their binomials: 52 shared, 6 and 7 own.
-LONG_SET, LONG_FLIP = 50, 0.1541
 #: Similarity that FLIP belongs to.
 LEAST = 0.8
 #: Orders by which leaders of buckets are chosen.
 LEADERS = 4
-#: Members from which on a bucket is large, and fingerprints compared in it.
-LARGE, WIDE = 4, 32
+#: Members beyond which a bucket is large, and sets compared in it.
+LARGE = 4
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -102,7 +101,7 @@ def radius_for(bits: int, loss: float, flip: float = FLIP) -> int:
 def segments_for(rows: int, recall: float) -> tuple[int, int, int]:
     """(bits of a segment, segments, radius of the independent fingerprint) for pairs at FLIP.
 
-    Segments may lose nine tenths of 1 - ``recall``, the radius a twentieth, that of all fingerprints the last.
+    Segments may lose nine tenths of 1 - ``recall``, the radius a twentieth.
     """
     width = min(32, max(12, rows.bit_length() + 1))
     number = math.ceil(math.log(0.9 * (1 - recall)) / math.log1p(-((1 - FLIP) ** width)))
@@ -149,6 +148,44 @@ def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: floa
     return cut(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"))
 
 
+def told_by_base(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, base, told) of ``pairs`` (rep, base): the set of ``rep`` as bits, one for each shingle of ``base`` that it shares, and the rest."""
+
+    @F.pandas_udf("shared array<long>, rest array<long>")
+    def parted(own: pd.Series, base: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, b in zip(own, base, strict=True):
+            bits = np.zeros(-(-len(b) // 64) * 64, bool)
+            bits[: len(b)] = np.isin(b, s, assume_unique=True)
+            rows.append((np.packbits(bits).view(np.int64), np.setdiff1d(s, b, assume_unique=True)))
+        return pd.DataFrame(rows, columns=["shared", "rest"])
+
+    both = pairs.join(sets.select(F.col("_id").alias("rep"), F.col("s").alias("own")), "rep")
+    both = salted_join(both, sets.select(F.col("_id").alias("base"), F.col("s").alias("of")), ["base"], "inner", salts=2, by=F.col("rep"))
+    return both.select("rep", "base", parted("own", "of").alias("told"))
+
+
+def links_of_large(split: DataFrame, classes: DataFrame, texts: DataFrame, met: Callable[[str, str], Column], least: float, words: int) -> DataFrame:
+    """(a, b): the pairs of different parts, in one bucket of ``split``, that ``met`` lets through and whose sets are similar.
+
+    ``met`` is a condition on the sides x and y. Members that it lets meet no other are left out before sets are fetched.
+    """
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & met("x", "y")
+    rows = stored(split.alias("x").join(split.alias("y"), apart, "left_semi"))
+    pairs = rows.select("rep", "base").distinct()
+    sets = stored(with_sets(classes, pairs.select(F.col("rep").alias("_id")).union(pairs.select("base")).distinct(), texts, words))
+    told = stored(told_by_base(pairs, sets))
+    rows = salted_join(rows, told, ["rep", "base"], "inner", salts=2)
+    x, y = rows.where("not main").alias("x"), rows.alias("y")
+    bits = F.aggregate(F.zip_with("x.told.shared", "y.told.shared", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda total, n: total + n)
+    n = F.col("x.n") + F.col("y.n")
+    similar = lambda shared: shared >= least * (n - shared) - 1e-9
+    most = bits + F.least(F.size("x.told.rest"), F.size("y.told.rest"))
+    shared = bits + F.size(F.array_intersect("x.told.rest", "y.told.rest"))
+    once = F.col("y.main") | (F.col("x.rep") < F.col("y.rep"))
+    return x.join(y, apart & once & similar(most) & similar(shared)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
 def near_copy_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 5, least: float = LEAST, recall: float = 0.99) -> DataFrame:
     """(id, component_id) of all rows with an id: components of the pairs at Jaccard ``least`` or more.
 
@@ -204,23 +241,17 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
     more = salted_join(more, parts, ["rep"]).select("rep", "n", "fp", "key", "k", F.coalesce("component", "rep").alias("part"))
     size = more.select("*", F.count("*").over(Window.partitionBy("key", "part")).alias("size"))
     most = F.max(F.struct("size", "part")).over(bucket)
-    split = stored(size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high").select("rep", "n", "fp", "key", "k", "part", (F.col("part") == F.col("most.part")).alias("main")))
+    base = F.col("most.part")
+    split = size.select("*", most.alias("most"), F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")).where("low < high")
+    split = stored(split.select("rep", "n", "fp", "key", "k", "part", (F.col("part") == base).alias("main"), base.alias("base")))
     large = F.col("k") > LARGE
-    wide = min(functions, WIDE)
-    loose, tight = (radius_for(64 * wide, 0.05 * (1 - recall), f) for f in (FLIP, LONG_FLIP))
-    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.f")[i].bitwiseXOR(F.col(f"{y}.f")[i])) for i in range(1, wide)), F.bit_count(F.col(f"{x}.f")[0].bitwiseXOR(F.col(f"{y}.f")[0])))
-    close = lambda x, y: apart(x, y) <= F.when(F.least(f"{x}.n", f"{y}.n") >= LONG_SET, tight).otherwise(loose)
-    # a text's fingerprints are fetched once, whatever number of large buckets (at most one a segment) it is in
-    places = split.where(large).groupBy("rep").agg(F.collect_list(F.struct("key", "part", "main")).alias("at"))
-    full = places.join(classes.select("rep", "n", F.struct(F.slice("fps", 1, wide).alias("f"), "n").alias("fps")), "rep").select("rep", "n", "fps", F.inline("at"))
-
-    def pairs_of(rows: DataFrame, fp: str, close) -> DataFrame:
-        left = rows.where("not main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col(fp).alias("f"), F.col("part").alias("p"))
-        return left.join(rows, "key").where((F.col("p") != F.col("part")) & sizes("m", "n") & close(fp, "f")).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
-
-    across = pairs_of(split.where(~large), "fp", near).union(pairs_of(full, "fps", close)).distinct()
+    met_by = lambda x, y: sizes(f"{x}.n", f"{y}.n") & near(f"{x}.fp", f"{y}.fp")
+    few = split.where(~large)
+    x, y = few.where("not main").alias("x"), few.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & met_by("x", "y")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     across = stored(across.join(stars, ["a", "b"], "left_anti"))
-    parts = connected_components(edges.union(verified(across, classes, texts, least, words)))
+    found = links_of_large(split.where(large), classes, texts, met_by, least, words)
+    parts = connected_components(edges.union(found).union(verified(across, classes, texts, least, words)))
     named = stored(classes.join(parts, classes["rep"] == parts["node"], "left").select(*digest, "row", F.coalesce("component", "rep").alias("part")))
     stays = named.groupBy("part").agg(F.min("row").alias("first"))
     named = salted_join(named, stays, ["part"]).select(*digest, "first")

@@ -100,3 +100,16 @@ def test_rows_of_one_id_are_told_apart_by_their_texts(spark):
     kept = near_copies.keep_one_per_group(spark.createDataFrame([(i, t, "_h", 7) for i, t in rows], "doc_id long, text string, rep string, _h long"))
     assert kept.columns == ["doc_id", "text", "rep", "_h"]
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted({*rows[:2], *rows[4:]})
+
+
+def test_texts_edited_beyond_the_threshold_are_not_verified_in_pairs(spark, monkeypatch):
+    """In large buckets the sets decide in the join: of a family just below 0.8 few pairs are left to verify, and the groups are those of brute force."""
+    rng, asked = random.Random(9), []
+    base = [f"y{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(edited(rng, base, 4))) for i in range(150)]
+    rows += [(200 + i, t + " and one more") for i, t in rows[:20]]  # links to be found
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *rest: (asked.append(pairs.count()), verified(pairs, *rest))[1])
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(rows)
+    assert asked[-1] < 5 * len(rows)
