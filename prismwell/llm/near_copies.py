@@ -21,7 +21,6 @@ whole; an empty table gives no rows; extra columns are handed on and clash with
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -140,9 +139,8 @@ def with_sets(classes: DataFrame, ids: DataFrame, texts: DataFrame, words: int)
     return found.select(F.col("rep").alias("_id"), hashed("_text").alias("s"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    sets = stored(with_sets(classes, pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), texts, words))
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets in ``sets`` (_id, s) have a Jaccard similarity of ``least`` or more."""
     both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut(both.where(shared >= least * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"))
@@ -165,16 +163,9 @@ def told_by_base(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("rep", "base", parted("own", "of").alias("told"))
 
 
-def links_of_large(split: DataFrame, classes: DataFrame, texts: DataFrame, met: Callable[[str, str], Column], least: float, words: int) -> DataFrame:
-    """(a, b): the pairs of different parts, in one bucket of ``split``, that ``met`` lets through and whose sets are similar.
-
-    ``met`` is a condition on the sides x and y. Members that it lets meet no other are left out before sets are fetched.
-    """
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & met("x", "y")
-    rows = stored(split.alias("x").join(split.alias("y"), apart, "left_semi"))
-    pairs = rows.select("rep", "base").distinct()
-    sets = stored(with_sets(classes, pairs.select(F.col("rep").alias("_id")).union(pairs.select("base")).distinct(), texts, words))
-    told = stored(told_by_base(pairs, sets))
+def links_of_large(rows: DataFrame, sets: DataFrame, apart: Column, least: float) -> DataFrame:
+    """(a, b): the pairs of ``rows`` (rep, base, n, fp, key, part, main) that meet ``apart``, on the sides x and y, and whose sets are similar."""
+    told = stored(told_by_base(rows.select("rep", "base").distinct(), sets))
     rows = salted_join(rows, told, ["rep", "base"], "inner", salts=2)
     x, y = rows.where("not main").alias("x"), rows.alias("y")
     bits = F.aggregate(F.zip_with("x.told.shared", "y.told.shared", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda total, n: total + n)
@@ -228,13 +219,16 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
     led = met.where(near("fp", "lead.fp") & sizes("n", "lead.n") & (F.col("rep") != F.col("lead.rep"))).select(turn.alias("turn"), F.least("lead.rep", "rep").alias("a"), F.greatest("lead.rep", "rep").alias("b"))
     stars = stored(led.groupBy("a", "b").agg(F.min("turn").alias("turn")))
     small = classes.where("n = 5").select(F.col("rep").alias("a"), F.inline("less")).join(classes.where("n = 4").select(F.col("rep").alias("b"), *digest), digest).select("a", "b")
+    # texts move twice in all: for the sets of what leaders meet, and for those of what is left
+    of_pairs = lambda pairs: pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
+    sets = stored(with_sets(classes, of_pairs(stars).distinct(), texts, words))
     edges, parts = stored(small), None
     for t in range(LEADERS):  # what an earlier leader has linked is not verified again
         some = stars.where(F.col("turn") == t).select("a", "b")
         if parts is not None:
             of = lambda n: parts.select(F.col("rep").alias(n), F.col("component").alias(f"_{n}"))  # noqa: B023, E731
             some = salted_join(salted_join(some, of("a"), ["a"]), of("b"), ["b"]).where("_a is null or _b is null or _a <> _b").select("a", "b")
-        edges = stored(edges.union(verified(stored(some), classes, texts, least, words)))
+        edges = stored(edges.union(verified(stored(some), sets, least)))
         parts = stored(connected_components(edges).withColumnRenamed("node", "rep"))
 
     more = met.where("k > 2").select("rep", "n", "fp", "key", "k")
@@ -246,12 +240,14 @@ def _grouped(docs: DataFrame, text: str, id_col: str, words: int, least: float,
     split = stored(split.select("rep", "n", "fp", "key", "k", "part", (F.col("part") == base).alias("main"), base.alias("base")))
     large = F.col("k") > LARGE
     met_by = lambda x, y: sizes(f"{x}.n", f"{y}.n") & near(f"{x}.fp", f"{y}.fp")
-    few = split.where(~large)
-    x, y = few.where("not main").alias("x"), few.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & met_by("x", "y")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & met_by("x", "y")
+    few, many = split.where(~large), split.where(large)
+    across = few.where("not main").alias("x").join(few.alias("y"), apart).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     across = stored(across.join(stars, ["a", "b"], "left_anti"))
-    found = links_of_large(split.where(large), classes, texts, met_by, least, words)
-    parts = connected_components(edges.union(found).union(verified(across, classes, texts, least, words)))
+    many = stored(many.alias("x").join(many.alias("y"), apart, "left_semi"))  # members that meet another part
+    named_in = of_pairs(across).union(many.select("rep")).union(many.select("base")).distinct()
+    sets = stored(with_sets(classes, named_in, texts, words))
+    parts = connected_components(edges.union(links_of_large(many, sets, apart, least)).union(verified(across, sets, least)))
     named = stored(classes.join(parts, classes["rep"] == parts["node"], "left").select(*digest, "row", F.coalesce("component", "rep").alias("part")))
     stays = named.groupBy("part").agg(F.min("row").alias("first"))
     named = salted_join(named, stays, ["part"]).select(*digest, "first")

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from prismwell.llm import near_copies
+from prismwell.llm import common, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -113,3 +113,16 @@ def test_texts_edited_beyond_the_threshold_are_not_verified_in_pairs(spark, monk
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == groups(rows)
     assert asked[-1] < 5 * len(rows)
+
+
+def test_small_graphs_are_contracted_without_rounds(spark, monkeypatch):
+    """A path over many partitions: two tables are kept, where each round kept one more; with a small limit the rounds give the same."""
+    rows = [(i, i + 1) for i in range(400) if i % 50 != 49]
+    edges = spark.createDataFrame(random.Random(4).sample(rows, len(rows)), "a long, b long").repartition(7)
+    keep, kept = common.cut, []
+    monkeypatch.setattr(common, "cut", lambda df: (kept.append(1), keep(df))[1])
+    want = {i: i - i % 50 for i in range(400)}
+    assert {r["node"]: r["component"] for r in common.connected_components(edges).collect()} == want
+    assert len(kept) == 2
+    monkeypatch.setattr(common, "CONTRACT_ROWS", 100)
+    assert {r["node"]: r["component"] for r in common.connected_components(edges).collect()} == want
