@@ -228,6 +228,18 @@ def test_incidence(soup):
     assert (closed["euler"], closed["closed"]) == (2, True)
 
 
+def test_incidence_is_dealt_out_by_the_number_of_triangles(soup, spark, monkeypatch, capsys):
+    before = {tuple(r) for r in topology.incidence(soup).collect()}
+    twice = soup.unionByName(soup).withColumn("mesh", F.col("mesh").cast("long"))
+    monkeypatch.setattr(graph, "TASK_ROWS", 3)
+    dealt = topology.incidence(twice)
+    dealt.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert {tuple(r) for r in dealt.collect()} == before
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    assert mesh_queries.terrain(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 100)
+
+
 def test_parts(soup):
     got: dict[tuple, set] = {}
     for r in topology.parts(soup).collect():
