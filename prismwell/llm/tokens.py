@@ -19,8 +19,8 @@ import numpy as np
 
 from .spans import give_back
 
-#: Chunks and letter runs remembered; beyond it only the first ``KEPT`` of each stay, as frequent ones are met early.
-MAX_CHUNKS, MAX_WORDS, KEPT = 250_000, 150_000, 60_000
+#: Chunks and letter runs remembered; beyond it only the first ``HELD`` of each stay, as frequent ones are met early, and ``KEPT`` after a task.
+MAX_CHUNKS, MAX_WORDS, HELD, KEPT = 500_000, 350_000, 250_000, 120_000
 #: Letter runs sent to the library in one text.
 JOINED = 2000
 _STOPS = b".,;:!?"
@@ -35,6 +35,10 @@ def version_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+def _ids(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class TextEncoder:
     """ids(texts): the little-endian unsigned 32-bit ids of each UTF-8 text, without added tokens."""
 
@@ -43,6 +47,7 @@ class TextEncoder:
         self.special: list[bytes] = []
         self.by_chunk = False
         self.final: np.ndarray | None = None
+        self._model = None
         if path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -62,6 +67,10 @@ class TextEncoder:
             rest = all(p.get("type") == "ByteLevel" and not p.get("use_regex") and not p.get("add_prefix_space") for p in pre[1:])
             norm = (spec.get("normalizer") or {}).get("normalizers") or []
             self.by_chunk = bool(split and rest and not spec.get("post_processor") and all(n in _CHUNK_NORMALIZERS for n in norm))
+            lowered = all(n in norm for n in _CHUNK_NORMALIZERS[::2])
+            if self.by_chunk and lowered and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout"):
+                # what comes before the model leaves a run of lower-case ASCII letters as it is
+                self._model = tok.model
             suffix = spec["model"].get("end_of_word_suffix")
             if suffix:
                 # the last token of a letter run, and no other, is a word-final piece
@@ -75,6 +84,14 @@ class TextEncoder:
 
     def _spell(self, group: list[bytes]) -> list[bytes]:
         """The ids of each letter run."""
+        if self._model is not None:
+            tokenize = self._model.tokenize
+            rest = [w for w in group if not w.isascii()]
+            later = iter(self._spell_joined(rest) if rest else ())
+            return [_ids([t.id for t in tokenize(w.decode())]) if w.isascii() else next(later) for w in group]
+        return self._spell_joined(group)
+
+    def _spell_joined(self, group: list[bytes]) -> list[bytes]:
         if self.final is not None:
             ids = np.asarray(self._encode([b" ".join(group).decode("utf-8", "replace")])[0], "<u4")
             ends = (np.flatnonzero(self.final[ids]) + 1) * 4
@@ -85,7 +102,7 @@ class TextEncoder:
 
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.words) > MAX_WORDS:
-            self.words = dict(islice(self.words.items(), KEPT))
+            self.words = dict(islice(self.words.items(), HELD))
         known = self.words
         parts: list[tuple[bytes, bytes, bytes]] = []
         odd: list[bytes] = []
@@ -126,7 +143,7 @@ class TextEncoder:
         for i, t in enumerate(texts):
             if out[i] is None:
                 if len(self.chunks) > MAX_CHUNKS:
-                    self.chunks = dict(islice(self.chunks.items(), KEPT))
+                    self.chunks = dict(islice(self.chunks.items(), HELD))
                 pieces = t.split()
                 try:
                     out[i] = b"".join(map(self.chunks.__getitem__, pieces))

@@ -221,6 +221,16 @@ def library():
     return Tokenizer.from_file(BPE)
 
 
+def test_plain_words_go_to_the_model_alone(library, monkeypatch):
+    texts = [b"Plain words, each once; a xqzvw zebra!", "Stra\u00dfe I\u0301le caf\u00e9s plain".encode()]
+    enc = tokens.TextEncoder(BPE)
+    sent: list[str] = []
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda group: sent.extend(group) or encode(group))
+    assert enc.ids(texts) == [np.asarray(library.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not {"plain", "words", "each", "xqzvw", "zebra"} & set(" ".join(sent).split())
+
+
 def test_encoder_is_the_library(library):
     texts = [utf8(t) for _, t, *_ in documents()] + [s.encode() for s in ("a.b,c", "it'S", "x...", "É. é, ÉÉ;", "1,2", "<|startoftext|>x", "é.", "|a| b|", "İstanbul.", "ab cd", "don't.'s")]
     got = tokens.TextEncoder(BPE).ids(texts)
