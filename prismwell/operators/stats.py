@@ -2,40 +2,90 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
-from ..graph import spread_join
+from ..graph import dealt
+from ..session import kept
 
 
 #: Bins by which quantiles are narrowed down.
 QUANTILE_BINS = 4096
+#: Rows of a key that a task should have.
+SLICE_ROWS = 1_000_000
+
+
+def sliced(rows: DataFrame, key: str, by: list[str]) -> tuple[DataFrame, DataFrame | None, int]:
+    """``rows`` with _slice and dealt out by (key, _slice), the keys of many rows with their _slices (None if there are none), and the number of rows.
+
+    A key has one slice for each ``SLICE_ROWS`` of its rows, told by a hash of ``by``.
+    """
+    n = rows.count()
+    large = kept(rows.groupBy(key).count().where(F.col("count") > SLICE_ROWS).select(key, F.ceil(F.col("count") / SLICE_ROWS).cast("int").alias("_slices"))) if n > SLICE_ROWS else None
+    if large is None or large.isEmpty():
+        # no literal: that would be taken out of the joins, and rows would move again
+        return dealt(rows.withColumn("_slice", F.pmod(F.xxhash64(*by), F.lit(1)).cast("int")), n, key, "_slice"), None, n
+    cut = F.pmod(F.xxhash64(*by), F.coalesce("_slices", F.lit(1))).cast("int")
+    return dealt(rows.join(F.broadcast(large), key, "left").withColumn("_slice", cut).drop("_slices"), n, key, "_slice"), large, n
+
+
+def _for_slices(per_key: DataFrame, key: str, large: DataFrame | None) -> DataFrame:
+    """``per_key``, unique by key, once for each slice of its key."""
+    if large is None:
+        return per_key.withColumn("_slice", F.explode(F.array(F.lit(0))))
+    last = F.coalesce("_slices", F.lit(1)) - 1
+    return per_key.join(F.broadcast(large), key, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), last))).drop("_slices")
 
 
 def quantiles(rows: DataFrame, key: str, values: list[str], shares: list[float]) -> DataFrame:
-    """(key, name, share, q): exact quantiles, between two values in proportion; a key may hold any number of rows.
+    """(key, name, share, q): exact quantiles, between two values in proportion; a key may hold any number of rows."""
+    return quantiles_of(*sliced(rows.select(key, *values), key, values), key, values, shares)
+
+
+def quantiles_of(rows: DataFrame, large: DataFrame | None, n: int, key: str, values: list[str], shares: list[float]) -> DataFrame:
+    """The quantiles of rows that ``sliced`` has dealt out.
 
     Bins of equal width between a key's ends are counted, and only the rows of those bins are ordered
-    in which a wanted rank falls; equal values there count as one row.
+    in which a wanted rank falls; equal values there count as one row. Rows stay where they are; what
+    a slice has counted goes on.
     """
-    long = rows.select(F.col(key).alias("key"), F.inline(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values]))).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    by = ["key", "name"]
-    ends = long.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    share = F.explode(F.array(*map(F.lit, shares)))
-    at = F.col("share") * (F.col("n") - 1)
-    wanted = ends.withColumn("share", share).withColumns({"low": F.floor(at), "high": F.ceil(at), "part": at - F.floor(at)})
-    binned = long.join(ends.select(*by, "lo", "hi"), by).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.lit(QUANTILE_BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * QUANTILE_BINS))).otherwise(0).cast("int"))
-    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*by).orderBy("bin")) - F.col("c"))
-    ranks = wanted.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct()
-    held = counts.join(ranks, by).where("rank >= before and rank < before + c").select(*by, "bin", "before").distinct()
-    few = binned.join(held, [*by, "bin"]).groupBy(*by, "bin", "before", "v").agg(F.count("*").alias("c"))
-    top = F.sum("c").over(Window.partitionBy(*by, "bin").orderBy("v")) + F.col("before")
-    steps = few.withColumn("top", top).select(*by, "v", (F.col("top") - F.col("c")).alias("first"), "top")
-    value = ranks.join(steps, by).where("rank >= first and rank < top").select(*by, "rank", "v")
-    ends_of = wanted.join(value.select(*by, F.col("rank").alias("low"), F.col("v").alias("a")), [*by, "low"]).join(value.select(*by, F.col("rank").alias("high"), F.col("v").alias("b")), [*by, "high"])
-    return ends_of.select(F.col("key").alias(key), "name", "share", (F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("q"))
+    at = range(len(values))
+    sound = [F.when(~F.isnan(v), v) for v in (F.col(x).cast("double") for x in values)]
+    rows = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), "_slice", *[c.alias(f"v{i}") for i, c in enumerate(sound)])
+    large = None if large is None else large.withColumnRenamed(key, "key")
+    ends = rows.groupBy("key").agg(*[f(f"v{i}").alias(f"{x}{i}") for i in at for x, f in (("lo", F.min), ("hi", F.max))])
+
+    def placed(marks: DataFrame, more: Callable[[int], Column]) -> DataFrame:
+        lo, hi, v = ([F.col(f"{x}{i}") for i in at] for x in ("lo", "hi", "v"))
+        bins = [F.when(h > low, F.least(F.lit(QUANTILE_BINS - 1), F.floor((x - low) / (h - low) * QUANTILE_BINS))).otherwise(0).cast("int") for low, h, x in zip(lo, hi, v, strict=True)]
+        each = [F.struct(F.lit(i).alias("i"), v[i].alias("v"), bins[i].alias("bin"), more(i).alias("wanted")) for i in at]
+        return rows.join(_for_slices(marks, "key", large), ["key", "_slice"]).select("key", "_slice", F.inline(F.array(*each))).where("v is not null")
+
+    part = placed(ends, lambda i: F.lit(0)).groupBy("key", "_slice", "i", "bin").agg(F.count("*").alias("c"))
+    counts = dealt(part, len(values) * n, "key").groupBy("key", "i", "bin").agg(F.sum("c").alias("c"))
+    of = Window.partitionBy("key", "i")
+    counts = counts.withColumns({"before": F.sum("c").over(of.orderBy("bin")) - F.col("c"), "n": F.sum("c").over(of)})
+    ranks = [(f(F.lit(s) * (F.col("n") - 1))) for s in shares for f in (F.floor, F.ceil)]
+    held = counts.where(reduce(or_, [(r >= F.col("before")) & (r < F.col("before") + F.col("c")) for r in ranks])).select("key", "i", "bin", "before", "n")
+    # the bins that are wanted of a key, at most two for each share, go along with its ends
+    bins_of = held.groupBy("key").agg(*[F.array_sort(F.collect_set(F.when(F.col("i") == i, F.col("bin")))).alias(f"b{i}") for i in at])
+    most = 2 * len(shares)
+    marks = ends.join(bins_of, "key").select("key", *[f"{x}{i}" for i in at for x in ("lo", "hi")], *[F.get(f"b{i}", F.lit(k)).alias(f"b{i}_{k}") for i in at for k in range(most)])
+    few = placed(marks, lambda i: F.array(*[F.col(f"b{i}_{k}") for k in range(most)])).where("array_contains(wanted, bin)")
+    few = few.groupBy("key", "_slice", "i", "bin", "v").agg(F.count("*").alias("c"))
+    few = few.groupBy("key", "i", "bin", "v").agg(F.sum("c").alias("c")).join(held, ["key", "i", "bin"])
+    steps = few.withColumn("top", F.sum("c").over(Window.partitionBy("key", "i", "bin").orderBy("v")) + F.col("before")).withColumn("first", F.col("top") - F.col("c"))
+    step = lambda r: F.max(F.when((r >= F.col("first")) & (r < F.col("top")), F.col("v")))
+    found = steps.groupBy("key", "i", "n").agg(*[step(r).alias(f"r{k}") for k, r in enumerate(ranks)])
+    names = F.element_at(F.array(*map(F.lit, values)), F.col("i") + 1)
+    place = [F.lit(s) * (F.col("n") - 1) for s in shares]
+    q = [F.col(f"r{2 * k}") + (F.col(f"r{2 * k + 1}") - F.col(f"r{2 * k}")) * (p - F.floor(p)) for k, p in enumerate(place)]
+    return found.select(F.col("key").alias(key), names.alias("name"), F.inline(F.array(*[F.struct(F.lit(s).alias("share"), x.alias("q")) for s, x in zip(shares, q, strict=True)])))
 
 
 def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -148,9 +198,10 @@ def reference_color(pixels: DataFrame, image: str, channels: list[str], alpha: s
     solid = F.coalesce(F.col(alpha) > 0.2, F.lit(False))
     colored = ~F.coalesce(F.least(*channels) > 0.94, F.lit(False))
     marked = pixels.select(F.col(image).alias("_k"), *channels, solid.alias("_m0"), colored.alias("_m1"))
+    marked, large, n = sliced(marked, "_k", channels)
     counts = marked.groupBy("_k").agg(F.count_if("_m0").alias("_n0"), F.count_if("_m1").alias("_n1"))
-    chosen = spread_join(marked, counts, ["_k"], channels).where(F.when(F.col("_n0") >= LEAST_MASKED, F.col("_m0")).when(F.col("_n1") >= LEAST_MASKED, F.col("_m1")).otherwise(True))
+    chosen = marked.join(_for_slices(counts, "_k", large), ["_k", "_slice"]).where(F.when(F.col("_n0") >= LEAST_MASKED, F.col("_m0")).when(F.col("_n1") >= LEAST_MASKED, F.col("_m1")).otherwise(True))
     means = chosen.groupBy("_k").agg(F.count("*").alias("pixel_count"), *[F.avg(c).alias(f"_{c}") for c in channels])
-    low = quantiles(chosen, "_k", channels, [0.35]).groupBy("_k").agg(*[F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"_low_{c}") for c in channels])
+    low = quantiles_of(chosen, large, n, "_k", channels, [0.35]).groupBy("_k").agg(*[F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"_low_{c}") for c in channels])
     t = means.join(low, "_k").withColumns({n: rounded(F.col(f"_{c}") * 0.4 + F.col(f"_low_{c}") * 0.6, 4) for n, c in zip("rgb", channels, strict=True)})
     return t.select(F.col("_k").alias(image), "r", "g", "b", "pixel_count", rounded(saturation(F.col("r"), F.col("g"), F.col("b")), 6).alias("colorfulness"))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prismwell import graph
 from prismwell.operators import requests, stats
 from prismwell.plans.catalog import QUERIES
 from prismwell.sources import readers, runs
@@ -98,6 +99,24 @@ def test_each_mask_of_the_reference_colour(spark):
     assert set(used) == {0, 1, 2}
 
 
+def test_the_rows_of_a_key_are_dealt_out_in_slices(spark, monkeypatch, capsys):
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    monkeypatch.setattr(stats, "SLICE_ROWS", 200)
+    rng = np.random.default_rng(7)
+    points = {1: rng.uniform(0.1, 0.9, (2500, 3)), 2: rng.uniform(0.1, 0.9, (40, 3)), 3: np.full((300, 3), 0.5)}
+    rows = [(k, *map(float, p), 1.0) for k, c in points.items() for p in c]
+    colors = stats.reference_color(spark.createDataFrame(rows, "image int, r double, g double, b double, a double"), "image", ["r", "g", "b"], "a")
+    colors.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    got = {r["image"]: r for r in colors.collect()}
+    assert set(got) == set(points)
+    for k, c in points.items():
+        assert [got[k][x] for x in "rgb"] == pytest.approx(c.mean(axis=0) * 0.4 + np.quantile(c, 0.35, axis=0) * 0.6, abs=6e-5) and got[k]["pixel_count"] == len(c)
+    odd = [(1, float(v)) for v in points[1][:, 0]] + [(1, None), (1, float("nan")), (4, None), (5, 2.0)]
+    marks = {(r["k"], r["share"]): r["q"] for r in stats.quantiles(spark.createDataFrame(odd, "k int, v double"), "k", ["v"], [0.05, 0.5, 0.95]).collect()}
+    assert marks == pytest.approx({(1, s): np.quantile(points[1][:, 0], s) for s in (0.05, 0.5, 0.95)} | {(5, s): 2.0 for s in (0.05, 0.5, 0.95)})
+
+
 @pytest.mark.parametrize("name", ["prompt_expansion", "keyword_review", "guidance_block", "request_builder", "mesh_incidence", "reference_color"])
 def test_generated_code_compiles(spark, name):
     spark.conf.set("spark.sql.codegen.fallback", "false")
