@@ -353,6 +353,20 @@ def test_op8_runs_of_one_letter():
     assert all(f.all() for f in flags)
 
 
+def test_op8_passages_go_by_bytes_not_by_words(spark):
+    """Shared passages of over 50 words: one of 399 bytes stays, one of 400 goes."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for n in (399, 400):
+        passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 7))) for _ in range(100))[: n - 1] + "."
+        assert len(passage.encode()) == n and len(passage.split()) > 50
+        for mark in "12":
+            rows.append((len(rows), prose(rng, 60) + mark + passage + mark + prose(rng, 60)))
+            want[rows[-1][0]] = (len(rows[-1][1].encode()), n if n >= 400 else 0, int(n >= 400))
+    got = suffix_dedup.removed_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == want
+
+
 def test_op9_counts_base_and_lattice(spark, docs, empty):
     rows = documents()
     words = [[*utf8(t).translate(LOWER_AZ).split(), b""] for _, t, *_ in rows]
