@@ -247,6 +247,55 @@ def test_parts(soup):
     assert got == {(m, k): f for m, (_, index) in MESHES.items() for k, f in grouped(set(range(len(index))), index).items()}
 
 
+@pytest.fixture
+def small_tasks_stay(spark):
+    """Ranges of few rows are not put together, so that a giant's parts lie in several."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.unset(key)
+
+
+def test_topology_with_places_by_area(soup, monkeypatch, small_tasks_stay):
+    """Of meshes that a task can hold and of giants, whose parts no task orders alone."""
+    want = {}
+    for m, (xyz, index) in MESHES.items():
+        area, _, _ = measures(xyz, index)
+        z = xyz[index][:, :, 2]
+        low, height = z.min(), np.ptp(z) + 1e-8
+        parts = {k: sorted(f) for k, f in grouped(set(range(len(index))), index).items()}
+        share = {k: area[f].sum() / (area.sum() + 1e-8) for k, f in parts.items()}
+        for place, k in enumerate(sorted(parts, key=lambda k: (-round(share[k], 9), k)), 1):
+            own = z[parts[k]]
+            bottom, top, tall = (own.min() - low) / height, (own.max() - low) / height, np.ptp(own)
+            want[m, k] = (place, len(parts[k]), share[k], bottom, top, tall, top < 0.15, tall / height < 0.05)
+    assert len(want) > len(MESHES) + 20
+    for most in (graph.CONTRACTED, 100):
+        monkeypatch.setattr(graph, "CONTRACTED", most)
+        assert topology.giants(soup)[1] == (most == 100)
+        rows = topology.topology(soup).collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            got = (r["place"], r["n_faces"], r["area_frac"], r["z_bottom"], r["z_top"], r["z_height"], r["is_bottom_only"], r["is_thin"])
+            assert got == pytest.approx(want[r["mesh"], r["part"]])
+
+
+def test_equal_parts_have_their_places_by_their_least_face(spark, monkeypatch, small_tasks_stay):
+    """Twelve strips of the same triangles, whose areas are summed in other orders, and a smaller one."""
+    rng, rows, n = np.random.default_rng(5), [], 60
+    xyz = np.stack([np.arange(n + 2) // 2 * 3, np.arange(n + 2) % 2 * 2, rng.integers(0, 40, n + 2)], 1).astype(float)
+    for strip in range(13):
+        count = n if strip else n - 1  # the first is the smaller one
+        for i, k in zip(rng.permutation(count), range(count), strict=True):
+            v = [int(i) + j for j in range(3)]
+            rows.append((1, strip * 100 + k, *(x + 1000 * strip for x in v), *map(float, (xyz[v] + [200 * strip, 0, 0]).ravel())))
+    t = spark.createDataFrame(rows, "mesh int, " + meshes.TRIANGLES.split("string, ")[2]).repartition(7).cache()
+    for most in (graph.CONTRACTED, 100):
+        monkeypatch.setattr(graph, "CONTRACTED", most)
+        got = topology.topology(t).orderBy("place").select("place", "part").collect()
+        assert [tuple(r) for r in got] == [*((k, 100 * k) for k in range(1, 13)), (13, 0)]
+
+
 def test_the_sweep_equals_a_run_for_each_pair_of_thresholds(soup):
     got: dict[tuple, set] = {}
     for r in topology.swept_components(soup).collect():
